@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontaminate, jpeg, langid, license, packing, secrets, simhash, toxicity, warc
+from lakeloom.llm import decontaminate, jpeg, langid, license, packing, secrets, simhash, suffix, toxicity, warc
 from lakeloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.selectExpr("page_id", "kind", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "source_payload_digest", "block_digest", "block_bytes", "sha2(record, 256) AS record_sha256")
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
     "op5_warc": op5_warc,
+    "op6_suffix": op6_suffix,
     "op7_pack": op7_pack,
     "op8_license": op8_license,
     "op9_secrets": op9_secrets,
