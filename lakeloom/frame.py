@@ -277,7 +277,7 @@ class Frame:
     def sample(self, n: int, seed: int = 0) -> "Frame":
         """``n`` rows by a hash of their values and a seed: the same rows each time."""
         source = self.df
-        return Frame.of(source.orderBy(F.xxhash64(F.lit(seed), F.to_json(F.struct("*")))).limit(n), self._q.name)
+        return Frame.of(source.orderBy(F.xxhash64(F.lit(seed), F.to_json(F.struct(*[F.col(f"`{c}`") for c in source.columns])))).limit(n), self._q.name)
 
     def cache(self, ttl: float | None = None) -> "Frame":
         """Keep the result; with ``ttl`` seconds an equal query within them reuses it."""
