@@ -258,7 +258,7 @@ def luminance(media: list[bytes]) -> list[list[np.ndarray]]:
         count = np.clip(total[scan] - number * interval, 0, interval) if interval else total[scan]
         if np.any(np.bincount(scan, weights=count, minlength=len(images)) != total):
             raise ValueError("intervals are missing")
-        values = _decode(data, start, count, parts)
+        values = _decode(data, start, np.append(start[1:], (len(data) - 16) * 8), count, parts)
         h, v, _, _, q = parts[0]
         first = np.concatenate([[0], np.cumsum(np.bincount(scan, minlength=len(images)))])
         for k, (i, j) in enumerate(members):
@@ -271,7 +271,7 @@ def luminance(media: list[bytes]) -> list[list[np.ndarray]]:
     return out
 
 
-def _decode(data: np.ndarray, start: np.ndarray, count: np.ndarray, parts: tuple) -> np.ndarray:
+def _decode(data: np.ndarray, start: np.ndarray, end: np.ndarray, count: np.ndarray, parts: tuple) -> np.ndarray:
     """DC coefficients of component 0: lanes x MCUs x blocks."""
     four = data[:-3].astype(np.uint32) << 24
     for k in (1, 2, 3):
@@ -310,6 +310,8 @@ def _decode(data: np.ndarray, start: np.ndarray, count: np.ndarray, parts: tuple
                     last[c, lanes] += diff
                     if c == 0:
                         out[lanes, step, b] = last[c, lanes]
+    if np.any(pos > end):
+        raise ValueError("a scan ends early")
     return out
 
 

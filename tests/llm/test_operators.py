@@ -1,0 +1,496 @@
+"""Operators against brute force, round trips and held-out rows; nulls, empties, ties, repeats, clashing columns."""
+
+import hashlib
+import json
+import os
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from lakeloom.llm import decontaminate, golay, jpeg, langid, license, neardedup, packing, queries, secrets, simhash, suffix, toxicity, warc
+from lakeloom.llm.common import connected_components, table
+
+SF = "/root/testdata/sf0.001"
+ODD = [None, "", " \n\t", "a", "the same text", "the same text", "é ü 漢字 \U0001f600", "x" * 300_000, "token = \"0f" + "a1b2c3d4" * 5 + "\"", "<|endoftext|> y", "1 2 3"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i if i != 9 else None, t, None if i % 4 == 0 else "en", "s", i, i, "x") for i, t in enumerate(ODD)] + [(4, ODD[4], "en", "s", 4, 4, "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key long, score string")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, SF, "documents").cache()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_odd_and_empty_tables(spark, odd):
+    none = odd.limit(0)
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "the same text")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (None, 0), (3, None), (4, 0), (4, 0)], "doc_id long, toxic int")
+    n = len(ODD) + 1
+    assert jpeg.media_features(jpeg.store_media(odd)).count() == n
+    assert simhash.near_duplicates(odd).count() == n
+    assert langid.language_id(odd).count() == n
+    assert suffix.remove_repeats(odd).count() == n
+    assert packing.pack(odd).selectExpr("count(DISTINCT doc_id) AS n").first().n == n - 2
+    assert license.license_scan(odd).count() == n
+    assert toxicity.toxicity(odd, labels).count() == n
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(odd, items).collect()} == {(4, 3), (5, 3)}
+    assert secrets.secret_scan(odd).where("is_secret").count() == 1
+    for made in (jpeg.media_features(jpeg.store_media(none)), simhash.near_duplicates(none), langid.language_id(none), suffix.remove_repeats(none), packing.pack(none), license.license_scan(none), toxicity.toxicity(none, labels), toxicity.toxicity(none, labels.limit(0)), decontaminate.contamination(none, items), decontaminate.contamination(odd, items.limit(0)), secrets.secret_scan(none)):
+        assert made.count() == 0
+    pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<p>a"), (2, "u", "<p>a")], "page_id long, url string, html string")
+    assert warc.derivatives(warc.responses(pages)).count() == 8 and warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+# -- media ------------------------------------------------------------------------------------------
+
+
+def test_jpeg_round_trip(docs, texts):
+    for r in jpeg.media_features(jpeg.store_media(docs)).collect():
+        raw = texts[r.doc_id].encode()
+        padded = raw + b"\0" * (-len(raw) % 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    for data in (bytes(64), bytes(range(256)) * 4, b"\xff" * jpeg.IMAGE_BYTES + b"\0\xff" * 64):
+        assert b"".join(g.tobytes() for g in jpeg.luminance(jpeg.encode([data]))[0]) == data
+
+
+def test_jpeg_with_ac_and_chroma():
+    """A scan written bit by bit: 4:2:0, AC coefficients, no restart intervals, several tables."""
+    r = random.Random(3)
+    dc = (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1] + [0] * 7), bytes(range(12)))
+    ac = (bytes([0, 2, 1, 2] + [0] * 12), bytes([0x00, 0x01, 0xF0, 0x11, 0x22]))
+
+    def codes(counts, symbols):
+        out, code, at = {}, 0, 0
+        for size, n in enumerate(counts, 1):
+            for s in symbols[at : at + n]:
+                out[s] = f"{code:0{size}b}"
+                code += 1
+            at, code = at + n, code << 1
+        return out
+
+    d, a = codes(*dc), codes(*ac)
+    bits, last, want = [], [0, 0, 0], []
+    for _ in range(6):
+        for c in (0, 0, 0, 0, 1, 2):
+            value = r.randint(-60, 60)
+            diff, last[c] = value - last[c], value
+            size = abs(diff).bit_length()
+            bits.append(d[size] + (f"{diff if diff > 0 else diff + (1 << size) - 1:0{size}b}" if size else ""))
+            for _ in range(r.randint(0, 3)):
+                s = r.choice([0x01, 0x11, 0x22, 0xF0])
+                bits.append(a[s] + "".join(r.choice("01") for _ in range(s & 15)))
+            bits.append(a[0x00])
+            if c == 0:
+                want.append(value)
+    text = "".join(bits)
+    scan = int(text + "1" * (-len(text) % 8), 2).to_bytes((len(text) + 7) // 8).replace(b"\xff", b"\xff\0")
+    seg = jpeg._segment
+    data = b"\xff\xd8" + seg(0xDB, b"\0" + b"\x10" * 64) + seg(0xC0, struct.pack(">BHHB", 8, 32, 48, 3) + b"\1\x22\0\2\x11\0\3\x11\0") + seg(0xC4, b"\0" + dc[0] + dc[1]) + seg(0xC4, b"\x10" + ac[0] + ac[1]) + seg(0xDA, b"\3\1\0\2\0\3\0\0\x3f\0") + scan + b"\xff\xd9"
+    (grid,) = jpeg.luminance([data])[0]
+    blocks = np.clip(np.array(want) * 2 + 128, 0, 255).reshape(2, 3, 2, 2).transpose(0, 2, 1, 3).reshape(4, 6)
+    assert grid.tolist() == blocks.tolist()
+    with pytest.raises(ValueError):
+        jpeg.luminance([data[:-40] + b"\xff\xd9"])
+    with pytest.raises(ValueError):
+        jpeg.luminance([b"no jpeg"])
+
+
+# -- near duplicates --------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text, n=3):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+    parts = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+    h = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def components(ids, linked):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_golay_is_perfect():
+    r = np.random.default_rng(1)
+    x = r.integers(0, 1 << 23, 500)
+    values, fresh = golay.nearby(x)
+    assert set(fresh.sum(axis=1).tolist()) <= {1, 6}
+    near = [set(v[f].tolist()) for v, f in zip(values, fresh)]
+    for i in range(500):
+        assert int(golay.decode_table()[x[i] ^ (1 << int(r.integers(23)))]) in near[i]
+
+
+def test_simhash_against_brute_force(spark, docs, texts):
+    want = {k: plain_fingerprint(t) for k, t in texts.items()}
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert {k: r.fingerprint for k, r in got.items()} == {k: f"{v:016x}" for k, v in want.items()}
+    ids = sorted(want)
+    linked = [(a, b) for a in ids for b in ids if a < b and (want[a] ^ want[b]).bit_count() <= 3]
+    assert {k: r.component_id for k, r in got.items()} == components(ids, linked)
+
+
+def test_links_lose_nothing(spark):
+    r = random.Random(2)
+    base = [r.getrandbits(64) for _ in range(30)]
+    fps = list(dict.fromkeys(base + [b ^ sum(1 << i for i in r.sample(range(64), r.randint(1, 5))) for b in base for _ in range(12)]))
+    rows = spark.createDataFrame([(simhash.signed(f), i) for i, f in enumerate(fps)], "fp long, rep long")
+    for limit in (1, 3):
+        got = [tuple(sorted((x.a, x.b))) for x in simhash.links(rows, limit).collect()]
+        want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= limit}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_connected_components(spark):
+    r = random.Random(4)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
+    want = components({v for p in pairs for v in p}, pairs)
+    assert {x.v: x.component for x in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()} == want
+
+
+def test_near_dedup_stage(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base = [[word() for _ in range(120)] for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    rows += [(100 + i, " ".join(w)) for i, w in enumerate(base[:5])]
+    rows += [(200 + i, " ".join([*w[:60], word(), *w[61:]])) for i, w in enumerate(base[5:15])]
+    rows += [(300, None), (301, ""), (None, "x")]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = {k: set(neardedup.shingle_set(simhash.words(t), 5).tolist()) for k, t in rows if k is not None}
+    got = {x.doc_id: x.component_id for x in neardedup.classes(df).collect()}
+    for i in range(5):
+        assert got[100 + i] == i
+    caught = sum(got[200 + i] == 5 + i for i in range(10))
+    assert caught >= 8 and got[301] == 300
+    for k, c in got.items():  # nothing unlike is joined
+        assert k == c or sets[k] == sets[c] or len(sets[k] & sets[c]) >= 0.8 * len(sets[k] | sets[c])
+    kept = [x.doc_id for x in neardedup.keep_one(df).collect()]
+    assert len(kept) == len(set(got.values())) + 1 and None in kept
+
+
+# -- language, decontamination, suffixes ------------------------------------------------------------
+
+
+def test_kneser_ney_sums_to_one():
+    texts = {"a": "abab abc ba bab", "b": "cde ced dec"}
+    lang, gram, n = [], [], []
+    for i, t in enumerate(texts.values()):
+        v, c = np.unique(langid.encode([t])[0], return_counts=True)
+        lang += [i] * len(v)
+        gram += v.tolist()
+        n += c.tolist()
+    m = langid.Model(["a", "b"], np.array(lang), np.array(gram, dtype=np.uint64), np.array(n))
+    chars = np.array([ord(c) for c in " abcde"], dtype=np.uint64)
+    unseen = np.exp(m.floor)
+    for context in (0x0061_0062_0061, 0x0020_0020_0020, 0x0063_0064_0065, 0x0078_0078_0078):
+        p = np.exp(m.logp(np.uint64(context << 16) | chars, 4).astype(float)).sum(axis=0)
+        assert np.all(p <= 1.0001) and np.all(p >= 1 - 1.2 * unseen)
+
+
+def test_language_held_out(spark):
+    got = langid.language_id(table(spark, "/root/testdata/sf0.01", "documents")).join(table(spark, "/root/testdata/sf0.01", "documents"), "doc_id").where("held_out").select("lang", "lang_pred", "score", "rejected").collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.98
+    assert all(0 <= r.score <= 1 for r in got) and sum(r.rejected for r in got) <= 0.01 * len(got)
+
+
+def test_language_rejects(spark):
+    base = table(spark, SF, "documents")
+    model = langid.train(base)
+    odd = spark.createDataFrame([("Жшщ юэя ъыь чцх фтс " * 30,), ("1234 %%%",), (None,)], "text string")
+    assert [r.rejected for r in langid.identify(odd, model).collect()] == [True, True, True]
+    assert langid.identify(base, model).where("rejected").count() == 0
+
+
+def edit_distance(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != t)))
+        row = new
+    return min(row)
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcd ") for _ in range(n))
+    items = [decontaminate.normalise(text(r.randint(20, 120))) for _ in range(12)]
+    docs = []
+    for i in range(80):
+        parts = [text(r.randint(0, 200))]
+        for _ in range(r.randint(0, 2)):
+            item = list(r.choice(items))
+            for _ in range(r.randint(0, 9)):
+                at = r.randrange(len(item))
+                item[at : at + r.randint(0, 1)] = r.choice(["", "x", "yz"[:1]])
+            parts += ["".join(item), text(r.randint(0, 60))]
+        docs.append(decontaminate.normalise(" ".join(parts)))
+    for budget in (0.0, 0.05, 0.1):
+        m = decontaminate.Matcher(list(enumerate(items)), budget)
+        for d in docs:
+            want = {i: e for i, item in enumerate(items) if (e := edit_distance(item, d)) <= int(len(item) * budget)}
+            got = m.matches(d)
+            assert {i: x[0] for i, x in got.items()} == want
+            for i, (edits, start, stop, _) in got.items():
+                assert edit_distance(items[i], d[start:stop]) == edits
+    one = decontaminate.contamination(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    many = decontaminate.contamination(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), block_chars=200)
+    assert sorted(one.collect()) == sorted(many.collect())
+
+
+def brute_spans(texts, length):
+    from collections import Counter
+
+    count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        cover = [False] * len(t)
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                cover[i : i + length] = [True] * length
+        runs = sum(c and not (i and cover[i - 1]) for i, c in enumerate(cover))
+        out.append((len(t), sum(cover), runs, hashlib.sha256(bytes(b for b, c in zip(t, cover) if not c)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"range_bytes": 4000, "run_bytes": 2500}])
+def test_suffix_against_brute_force(spark, sizes):
+    r = random.Random(5)
+    rand = lambda n: "".join(r.choice("abcdéfgh ") for _ in range(n))
+    base = [rand(r.randint(50, 900)) for _ in range(12)]
+    texts = []
+    for _ in range(110):
+        kind = r.random()
+        if kind < 0.15:
+            texts.append(r.choice(base))
+        elif kind < 0.7:
+            s = ""
+            for _ in range(r.randint(1, 4)):
+                b = r.choice(base)
+                at = r.randrange(len(b))
+                s += b[at : at + r.randint(20, 500)] + (rand(r.randint(1, 80)) if r.random() < 0.5 else "")
+            texts.append(s)
+        elif kind < 0.75:
+            texts.append("ab" * r.randint(1, 400))
+        elif kind < 0.8:
+            texts.append("")
+        else:
+            texts.append(rand(r.randint(1, 600)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.remove_repeats(df, **sizes).collect()}
+    assert got == dict(enumerate(brute_spans([t.encode() for t in texts], 200)))
+
+
+def test_loser_tree_merges():
+    r = random.Random(6)
+    keys = sorted(bytes(r.choice(b"ab") for _ in range(r.randint(1, 12))) for _ in range(400))
+    for n in (1, 2, 3, 7):
+        runs = [[] for _ in range(n)]
+        for k in keys:
+            runs[r.randrange(n)].append((k, b"d" * 16, 0, 0))
+        last = b""
+        merged = []
+        for shared, key, *_ in suffix.LoserTree([suffix.write_run(x) for x in runs if x]):
+            assert shared == len(os.path.commonprefix([last, key]))
+            merged.append(key)
+            last = key
+        assert merged == keys
+
+
+# -- packing, licences, secrets, toxicity, WARC -----------------------------------------------------
+
+
+def test_packing(spark, docs, texts):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack(docs).collect()
+    by_doc, by_seq = {}, {}
+    for p in rows:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_seq.setdefault(p.sequence_id, []).append(p)
+    for k, t in texts.items():
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 0]
+        at = 0
+        for p in sorted(by_doc[k], key=lambda x: x.start):
+            assert p.start == at and p.doc_tokens == len(ids)
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], dtype="<u4").tobytes())
+            at += p.length
+        assert at == len(ids)
+    for pieces in by_seq.values():
+        at = 0
+        for p in sorted(pieces, key=lambda x: x.offset):
+            assert p.offset == at
+            at += p.length
+        assert at == 1024 or at & (at - 1) == 0
+
+
+def test_tokens_equal_the_tokenizer():
+    k = packing.tokenizer("byte_bpe_50k.json")
+    r = random.Random(1)
+    for _ in range(400):
+        s = "".join(r.choice([" ", "\n", "a", "The", "é", "'s", "12", "½", "!?", "\t", "漢", " ", "<|endoftext|>", "  "]) for _ in range(r.randint(0, 12)))
+        assert k(s) == (k.whole(s) if s else b"")
+
+
+def test_sum_of_squares_choice():
+    r = random.Random(11)
+    p = packing.SumOfSquares(16)
+    for i in range(300):
+        size = r.randint(1, 15)
+        counts = {level: len(p.open[level]) for level in range(1, 16)}
+
+        def squares(level):
+            after = dict(counts)
+            if level:
+                after[level] -= 1
+            if level + size < 16:
+                after[level + size] += 1
+            return sum(x * x for x in after.values())
+
+        options = [0] + [level for level in range(1, 17 - size) if counts[level]]
+        assert squares(p.choose(size)) == min(map(squares, options)) and p.choose(size) in options
+        p.add(i, size)
+    assert sum(x[2] for b in p.finish() for x in b) == sum(p_[2] for b in p.closed for p_ in b)
+
+
+def test_license_against_brute_force(docs, texts):
+    rows = {r.doc_id: r for r in license.license_scan(docs).collect()}
+    for k, t in texts.items():
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))
+        found = [(i, label) for phrase, label in license.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == [w.encode() for w in phrase.split()]]
+        r = rows[k]
+        places = [i for i, _ in found]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(found), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in found})))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_matching_statistics_against_brute_force():
+    r = random.Random(3)
+    templates = [[r.randrange(4) for _ in range(r.randint(2, 9))] for _ in range(6)]
+    a = license.SuffixAutomaton()
+    for t in templates:
+        a.insert(t)
+    subs = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    text = [r.randrange(5) for _ in range(400)]
+    state = length = 0
+    for i, x in enumerate(text):
+        state, length = a.step(state, length, x if x < 4 else None)
+        want = next((n for n in range(min(i + 1, 9), 0, -1) if tuple(text[i + 1 - n : i + 1]) in subs), 0)
+        assert length == want
+
+
+def test_license_templates_and_gaps():
+    s = license.Scanner()
+    scan = lambda t: {x[0] for x in s.scan(license.words(t.encode()))["spans"]}
+    assert scan("x Licensed under the Apache License, Version 2.0. y") == {"apache-2.0"}
+    long = dict(license.TEMPLATES)["bsd"]
+    assert "bsd" in scan(long.replace("are permitted", "are hereby permitted")) and "bsd" not in scan(long[:40])
+
+
+def test_secret_forest(spark, docs):
+    model = secrets.forest(spark)
+    found = secrets.labelled_findings(600, seed=99)
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(found, "value string, left string, right string, label int").withColumn("x", F.array(*secrets.feature_columns(F.col("value"), F.col("left"), F.col("right"))))
+    rows = df.withColumn("p", secrets.forest_column(model, F.col("x"))).collect()
+    assert all(abs(r.p - secrets.evaluate(model, r.x)) < 1e-9 for r in rows)
+    assert sum((r.p >= 0.5) == bool(r.label) for r in rows) / len(rows) > 0.95
+    for r in secrets.scored(docs).selectExpr("doc_id", "text", "explode(__findings) AS f").collect():
+        assert r.text[r.f.start : r.f.start + len(r.f.value)] == r.f.value
+    want = {(d.doc_id, m[1]) for d in docs.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', d.text, re.I)}
+    got = {(r.doc_id, r.f.value) for r in secrets.scored(docs).selectExpr("doc_id", "explode(__findings) AS f").where("f.score >= 0.5").collect()}
+    assert want <= got
+    left = secrets.redact(docs)
+    assert left.columns == docs.columns and left.where("text LIKE '%[SECRET]%'").count() == len({d for d, _ in got})
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_levenshtein_automaton_against_brute_force():
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abc") for _ in range(n))
+    terms = list({word(r.randint(3, 11)) for _ in range(15)})
+    stems = [word(6) for _ in range(3)]
+    a = toxicity.LexiconAutomaton([t + "." for t in terms] + stems)
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            new = [i]
+            for j, d in enumerate(y, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return row[-1]
+
+    for _ in range(3000):
+        w = word(r.randint(1, 12))
+        exact = w in terms or any(w.startswith(s) for s in stems)
+        fuzzy = any(distance(w, t) <= toxicity.edits(len(t)) for t in terms)
+        assert a.lookup(w) == (1 if exact else 2 if fuzzy else 0)
+
+
+def test_quotation_and_misspelling():
+    a = toxicity.LexiconAutomaton(["worthless.", "idiot."])
+    plain, fuzzy, quoted, aimed, _ = toxicity.features("you are an idiot", a)
+    assert plain > 0 and aimed > 0 and not quoted
+    assert toxicity.features("the word was “idiot” here", a)[2] > 0
+    assert toxicity.features("such wortless stuff", a)[1] > 0
+    assert toxicity.features("nothing here", a) == (0.0,) * 5
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).join(table(spark, sf, "labels"), "doc_id").where("held_out").collect()
+    hit = [r.predicted for r in rows if r.toxic == 1]
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    assert sum(hit) / len(hit) > 0.85 and sum(clean) / len(clean) < 0.01
+
+
+def test_warc_round_trip():
+    page = '<!DOCTYPE html><html lang="de"><head><title>A &amp; B</title><script>var t="</p>";</script><style>p{}</style></head><body><!-- no --><p>One <b>two</b><br>three&nbsp;&copy;<a href="/x?a=1&amp;b=2">link</a></body></html>'
+    source = warc.response(7, "http://e.org/\r\nX: y", page)
+    ((head, block),) = warc.parse(source)
+    assert block.endswith(page.encode()) and head["WARC-Payload-Digest"] == warc.digest(page.encode()) and head["WARC-Target-URI"] == "http://e.org/ X: y"
+    (mh, mb), (ch, cb) = warc.parse(b"".join(warc.derive(source)))
+    for h in (mh, ch):
+        assert h["WARC-Refers-To"] == head["WARC-Record-ID"] and h["WARC-Target-URI"] == head["WARC-Target-URI"]
+    assert cb.decode() == "A & B\nOne two\nthree ©link" and ch["WARC-Block-Digest"] == warc.digest(cb)
+    assert b"outlink: /x?a=1&b=2" in mb and f"sourcePayloadDigest: {head['WARC-Payload-Digest']}".encode() in mb and b"language: de" in mb
+    with pytest.raises(ValueError):
+        warc.parse(source[:-5])
+
+
+def test_every_query_is_registered(spark):
+    import __spark_entry__
+
+    made = __spark_entry__.queries()
+    assert set(queries.QUERIES) | {"pipeline"} <= set(made)
+    assert sorted({int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES}) == list(range(1, 11))
+    json.dumps(__spark_entry__.oracle_sql())
