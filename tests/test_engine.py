@@ -263,3 +263,40 @@ def test_fuzz_against_duckdb(spark):
     for _ in range(40):
         where = f"{r.choice(['', 'NOT '])}({term()} {r.choice(['AND', 'OR'])} {term()}) {r.choice(['AND', 'OR'])} {term()}"
         assert e.sql(f"SELECT count(*) AS n FROM t WHERE {where}").first()["n"] == con.sql(f"SELECT count(*) FROM t WHERE {where}").fetchall()[0][0], where
+
+
+def test_windows_of_time(spark):
+    from pyspark.sql import functions as F
+
+    from lakeloom.streaming.windows import hop, session, tumble
+
+    df = spark.createDataFrame([("a", 0), ("a", 50), ("a", 700), ("b", 65)], "k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    n = {"n": F.count("*")}
+    assert sorted(r.n for r in tumble(df, "ts", "1 minute", n).collect()) == [1, 1, 2]
+    assert hop(df, "ts", "2 minutes", "1 minute", n).agg(F.sum("n")).first()[0] == 8
+    assert sorted((r.k, r.n) for r in session(df, "ts", "5 minutes", n, ["k"]).collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_stream_of_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lakeloom.streaming.windows import tumble
+
+    rows = spark.range(100).select(F.timestamp_seconds(F.col("id") * 30).alias("ts"))
+    rows.write.parquet(str(tmp_path / "in"))
+    out = tumble(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "ts", "10 minutes", {"n": F.count("*")})
+    query = out.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert spark.sql("SELECT sum(n) FROM windows").first()[0] == 100
+
+
+def test_transform_and_ingest(spark, tmp_path):
+    from lakeloom.operators.transform import ingest, restricted, transform
+
+    (tmp_path / "x.csv").write_text("id,v,w\n1,2.5,a\n2,3.5,b\n3,9.5,c\n")
+    transform(spark, str(tmp_path / "x.csv"), str(tmp_path / "y"), ["id", "v"], "v > 3", {"v": "value"}, {"id": "string"}, 5)
+    assert sorted((r.id, r.value) for r in spark.read.parquet(str(tmp_path / "y")).collect()) == [("2", 3.5), ("3", 9.5)]
+    assert ingest(spark, str(tmp_path / "x.csv"), str(tmp_path / "t")) == 1 and ingest(spark, str(tmp_path / "y"), str(tmp_path / "u")) == 1
+    f = table(spark, str(tmp_path / "t"))
+    assert restricted(f, "a", {"a": "id = 1"}).count() == 1 and restricted(f, "b", {}).count() == 0
