@@ -18,11 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import arrow_rows, cut_lineage, remainder
+from lakeloom.llm.simhash import hashes, words
 
 #: Bound of the labelled training sample (rows with the smallest hashes of their ids).
 TRAIN_ROWS = 8_000
-#: Bound of the lexicon.
+#: Bound of the grams from which the lexicon is chosen.
 MAX_TERMS = 5_000
+#: Nats over which a gram's toxic rows are beyond the best of many thousand grams by chance.
+CHANCE = math.log(2e5) + 2
+_SALTS = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 STEM = 4, 9  # shortest and longest stem
 WINDOW = 6  # words on each side of a hit
 FEATURES = ("plain", "fuzzy", "quoted", "aimed", "density")
@@ -50,8 +55,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int, folds: int, he
     return known.where(remainder("doc_id", folds) != held).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def learn_lexicon(texts: DataFrame) -> list[tuple[str, float]]:
-    """Words and stems of ``texts(text, toxic)`` that mark toxic rows, with their smoothed precision."""
+def unlike(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs(doc_id, text, toxic)`` without near copies, which would count one finding many times.
+
+    Of documents that share a smallest hash of their five-word shingles under one of four hash
+    functions only those stay that have the smallest id for each of their four.
+    """
+
+    def rows(keys, texts, toxic):
+        marks: list[list[int]] = [[] for _ in _SALTS]
+        for t in texts:
+            h = hashes(words(t), 5)
+            for mark, salt in zip(marks, _SALTS):
+                mark.append(int(((h ^ salt) * _MULTIPLIER).min().view(np.int64)) if len(h) else 0)
+        yield {"doc_id": keys, "toxic": toxic, "text": texts} | {f"m{i}": m for i, m in enumerate(marks)}
+
+    marked = cut_lineage(arrow_rows(docs.select("doc_id", "text", "toxic"), rows, "doc_id long, toxic int, text string, " + ", ".join(f"m{i} long" for i in range(len(_SALTS)))))
+    out = marked
+    for i in range(len(_SALTS)):
+        first = marked.groupBy(f"m{i}").agg(F.min("doc_id").alias("doc_id"))  # no more rows than the bounded sample
+        out = out.join(F.broadcast(first), [f"m{i}", "doc_id"], "left_semi")
+    return cut_lineage(out.select("text", "toxic"))
+
+
+def learn_lexicon(texts: DataFrame) -> list[str]:
+    """Words (ending in a dot) and stems of the bounded sample ``texts(text, toxic)`` that mark toxic rows.
+
+    Greedy cover: the gram whose toxic rows are least likely by chance, then the same among the rows
+    that are left, until chance explains the rest.  Words far beyond chance on all rows are added.
+    """
 
     def rows(values, toxic):
         bad, all_ = Counter(), Counter()
@@ -62,21 +94,47 @@ def learn_lexicon(texts: DataFrame) -> list[tuple[str, float]]:
                 bad.update(g)
         yield {"gram": list(all_), "bad": [bad[g] for g in all_], "n": list(all_.values())}
 
-    counted = arrow_rows(texts.select("text", "toxic"), rows, "gram string, bad long, n long", slice_bytes=16 << 20)
     total = texts.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     if not total.n or not total.bad or total.bad == total.n:
         return []
     base = total.bad / total.n
-    often = counted.groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where("bad >= 3 AND bad >= 0.7 * n")
-    found = often.orderBy(F.desc(F.col("bad") / (F.col("n") + 1)), F.desc("bad"), "gram").limit(MAX_TERMS).collect()
-    terms = {}
+    counted = arrow_rows(texts.select("text", "toxic"), rows, "gram string, bad long, n long", slice_bytes=16 << 20)
+    often = counted.groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where("bad >= 3 AND bad >= 0.8 * n")
+    terms = [r.gram for r in often.orderBy(F.desc(F.col("bad") - 3 * (F.col("n") - F.col("bad"))), "gram").limit(MAX_TERMS).collect()]
+    if not terms:
+        return []
+    place = {g: i for i, g in enumerate(terms)}
+
+    def hits(values, toxic):
+        yield {"toxic": toxic, "at": [[place[g] for g in grams(t) if g in place] for t in values]}
+
+    found = arrow_rows(texts.select("text", "toxic"), hits, "toxic int, at array<int>").where("size(at) > 0").collect()
+    clean = np.zeros(len(terms))
     for r in found:
-        share = r.bad / r.n
-        gain = r.n * (share * math.log(share / base) + (1 - share) * math.log(max(1 - share, 1e-12) / (1 - base)) if share < 1 else -math.log(base))
-        if gain > math.log(2e5) + 2:  # over what the best of many thousand grams reaches by chance
-            terms[r.gram] = (r.bad + 0.5) / (r.n + 1)
-    # a longer stem, or a word, says nothing new where a shorter stem is as good
-    return sorted((g, p) for g, p in terms.items() if g.endswith(".") or not any(terms.get(g[:k], 0) >= p - 0.02 for k in range(STEM[0], len(g))))
+        if not r.toxic:
+            clean[r.at] += 1
+
+    def gains(rows: list[list[int]]) -> np.ndarray:
+        bad = np.zeros(len(terms))
+        for at in rows:
+            bad[at] += 1
+        share = np.divide(bad, bad + clean, out=np.zeros(len(terms)), where=bad > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = (bad + clean) * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
+        return np.where(share < 0.8, 0, gain)
+
+    left = [r.at for r in found if r.toxic]
+    sure = [g for g, x in zip(terms, gains(left)) if g.endswith(".") and x >= 2 * CHANCE]
+    chosen: list[str] = []
+    while left:
+        gain = gains(left)
+        best = max(range(len(terms)), key=lambda i: (round(gain[i], 6), terms[i].endswith("."), len(terms[i])))
+        if gain[best] < CHANCE:
+            break
+        chosen.append(terms[best])
+        left = [at for at in left if best not in at]
+    stems = tuple(g for g in chosen if not g.endswith("."))
+    return sorted({*chosen, *(g for g in sure if not g.startswith(stems))})
 
 
 def edits(size: int) -> int:
@@ -177,9 +235,9 @@ class LexiconAutomaton:
 def features(text: str | None, automaton: LexiconAutomaton) -> tuple[float, ...]:
     """Counts of hits by kind and context, logarithmic, and hits per hundred words."""
     lower = (text or "").lower()
-    words = _word.findall(lower)
+    found = _word.findall(lower)
     look = automaton.lookup
-    if not any(map(look, set(words))):
+    if not any(map(look, set(found))):
         return 0.0, 0.0, 0.0, 0.0, 0.0
     plain = fuzzy = quoted = aimed = hits = 0
     places = [(m.start(), m.group()) for m in _word.finditer(lower)]
@@ -198,7 +256,7 @@ def features(text: str | None, automaton: LexiconAutomaton) -> tuple[float, ...]
         else:
             fuzzy += 1
         aimed += any(x in _aim for x in window)
-    return tuple(map(math.log1p, (plain, fuzzy, quoted, aimed))) + (min(100.0 * hits / len(words), 20.0) / 4,)
+    return tuple(map(math.log1p, (plain, fuzzy, quoted, aimed))) + (min(100.0 * hits / len(found), 20.0) / 4,)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -224,8 +282,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sample = cut_lineage(training_rows(docs, labels, train_rows, folds, held))  # at most train_rows rows, so it may be broadcast
-    lexicon = learn_lexicon(source.join(F.broadcast(sample), "doc_id").select("text", "toxic"))
-    terms = [t for t, _ in lexicon]
+    terms = learn_lexicon(unlike(source.join(F.broadcast(sample), "doc_id")))
     built: list[LexiconAutomaton] = []
 
     def rows(keys, texts):
