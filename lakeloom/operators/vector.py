@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,32 +51,64 @@ def nearest(df: DataFrame, column: str, query, k: int = 10, metric: str = "cosin
     return ranked.withColumn("_score", score).orderBy(d, *ties).limit(k)
 
 
+NEAR = "left_id long, right_id long, distance double"
+
+
+def _task_top(queries: list[tuple[int, list[float]]], k: int, metric: str):
+    """Function over Arrow batches ``(right_id, v)`` that gives each query's ``k`` nearest rows of its task."""
+    import numpy as np
+    import pyarrow as pa
+
+    ids = [q for q, _ in queries]
+    dims = {}
+    for i, (_, v) in enumerate(queries):
+        dims.setdefault(len(v), []).append(i)
+    matrices = {d: np.array([queries[i][1] for i in at], dtype=float).reshape(len(at), d) for d, at in dims.items()}
+
+    def distances(q, x):
+        if metric == "l2":
+            return ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+        dot = (q[:, None, :] * x[None, :, :]).sum(axis=2)
+        if metric == "dot":
+            return -dot
+        norm = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+        return np.where(norm > 0, 1 - dot / np.where(norm > 0, norm, 1), 1.0)
+
+    def run(batches):
+        best: dict[int, list[tuple[float, int]]] = {i: [] for i in range(len(ids))}
+        for batch in batches:
+            rows = [(r, v) for r, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None]
+            for d, at in dims.items():
+                same = [(r, v) for r, v in rows if len(v) == d]
+                for lo in range(0, len(same), 512):
+                    part = same[lo : lo + 512]
+                    table = distances(matrices[d], np.array([v for _, v in part], dtype=float).reshape(len(part), d))
+                    for i, line in zip(at, table):
+                        best[i] = sorted([*best[i], *zip(line.tolist(), (r for r, _ in part))])[:k]
+        out = [(ids[i], r, x) for i, found in best.items() for x, r in found]
+        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["left_id", "right_id", "distance"])
+
+    return run
+
+
 def near_join(left: DataFrame, left_vector: str, left_id: str, right: DataFrame, right_vector: str, right_id: str, k: int = 20, metric: str = "cosine", block: int = 256) -> DataFrame:
-    """For each left row (a bounded query set, taken in blocks) its ``k`` nearest right rows: ids, distance, rank."""
+    """For each left row (a stated query set, taken in blocks) its ``k`` nearest right rows: ids, distance, rank.
+
+    Each task keeps ``k`` rows a query, and only those are exchanged; ties go by the right id.
+    """
     from pyspark.sql import Window
 
-    out, rows = None, []
-
-    def flush():
-        nonlocal out
-        queries = F.array(*[F.struct(F.lit(i).alias("q"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for i, v in rows])
-        each = right.select(quoted(right_id).alias("right_id"), quoted(right_vector).alias("__v"), F.explode(queries).alias("__q"))
-        each = each.select(F.col("__q.q").alias("left_id"), "right_id", distance(F.col("__v"), F.col("__q.v"), metric).alias("distance")).where("distance IS NOT NULL")
-        w = Window.partitionBy("left_id").orderBy("distance", "right_id")
-        got = each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = got if out is None else out.union(got)
-        rows.clear()
-
-    for r in left.select(quoted(left_id).alias("i"), quoted(left_vector).alias("v")).where("v IS NOT NULL").toLocalIterator():
-        rows.append((r.i, r.v))
-        if len(rows) == block:
-            flush()
-    if rows or out is None:
-        if rows:
-            flush()
-        else:
-            out = right.select(quoted(right_id).alias("left_id"), quoted(right_id).alias("right_id"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
-    return out
+    if metric not in METRICS:
+        raise QueryError("INVALID_FILTER", f"no metric {metric!r}")
+    side = right.select(quoted(right_id).cast("long").alias("right_id"), quoted(right_vector).cast("array<double>").alias("v"))
+    rows = ((r.i, r.v) for r in left.select(quoted(left_id).cast("long").alias("i"), quoted(left_vector).cast("array<double>").alias("v")).where("v IS NOT NULL").toLocalIterator())
+    w = Window.partitionBy("left_id").orderBy("distance", "right_id")
+    out = None
+    while queries := list(islice(rows, block)):
+        found = side.mapInArrow(_task_top(queries, k, metric), NEAR)
+        out = found if out is None else out.union(found)
+    out = right.sparkSession.createDataFrame([], NEAR) if out is None else out
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 class IvfIndex:
