@@ -82,7 +82,7 @@ def learn_lexicon(texts: DataFrame) -> list[str]:
     """Words (ending in a dot) and stems of the bounded sample ``texts(text, toxic)`` that mark toxic rows.
 
     Greedy cover: the gram whose toxic rows are least likely by chance, then the same among the rows
-    that are left, until chance explains the rest.  Words far beyond chance on all rows are added.
+    that are left, until chance explains the rest.  Grams beyond chance on all rows are added.
     """
 
     def rows(values, toxic):
@@ -124,7 +124,7 @@ def learn_lexicon(texts: DataFrame) -> list[str]:
         return np.where(share < 0.8, 0, gain)
 
     left = [r.at for r in found if r.toxic]
-    sure = [g for g, x in zip(terms, gains(left)) if g.endswith(".") and x >= 2 * CHANCE]
+    alone = dict(zip(terms, gains(left)))
     chosen: list[str] = []
     while left:
         gain = gains(left)
@@ -133,8 +133,12 @@ def learn_lexicon(texts: DataFrame) -> list[str]:
             break
         chosen.append(terms[best])
         left = [at for at in left if best not in at]
-    stems = tuple(g for g in chosen if not g.endswith("."))
-    return sorted({*chosen, *(g for g in sure if not g.startswith(stems))})
+    # best first; nothing that a chosen stem covers, no stem that says no more than a chosen longer gram
+    for g in sorted((g for g in terms if alone[g] >= CHANCE), key=lambda g: (-round(alone[g], 6), not g.endswith("."), -len(g))):
+        covered = any(not c.endswith(".") and g.startswith(c) for c in chosen)
+        if not covered and not any(c.startswith(g) and alone[c] >= alone[g] - 1e-6 for c in chosen):
+            chosen.append(g)
+    return sorted(chosen)
 
 
 def edits(size: int) -> int:
@@ -282,7 +286,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sample = cut_lineage(training_rows(docs, labels, train_rows, folds, held))  # at most train_rows rows, so it may be broadcast
-    terms = learn_lexicon(unlike(source.join(F.broadcast(sample), "doc_id")))
+    terms = learn_lexicon(unlike(source.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])))
     built: list[LexiconAutomaton] = []
 
     def rows(keys, texts):
@@ -292,7 +296,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
         yield {"doc_id": keys} | {n: [f[i] for f in found] for i, n in enumerate(FEATURES)}
 
     scored = cut_lineage(arrow_rows(source, rows, "doc_id long, " + ", ".join(f"{n} double" for n in FEATURES)))
-    known = scored.join(F.broadcast(sample), "doc_id").select("toxic", *FEATURES).toPandas()
+    known = scored.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("toxic", *FEATURES).toPandas()
     weights = fit(known[list(FEATURES)].to_numpy(float), known["toxic"].to_numpy(float))
     z = F.lit(float(weights[0]))
     for n, w in zip(FEATURES, weights[1:]):
