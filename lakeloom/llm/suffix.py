@@ -2,8 +2,7 @@
 
 Any string of ``length`` bytes contains a window of ``ANCHOR`` bytes whose hash is smallest; equal
 strings have it at the same place.  So only suffixes at such anchors need sorting: neighbouring starts
-with one anchor make a *stretch*, keyed by the bytes from the anchor on and then the bytes before it,
-backwards.  Each task sorts the keys of its slices to front-coded runs, the runs are exchanged by key
+with one anchor make a *stretch*, keyed by the bytes from the anchor on and then the bytes before it.  Each task sorts the keys of its slices to front-coded runs, the runs are exchanged by key
 range, and a loser tree merges them; it keeps the common prefix of every contender with the last
 winner, so bytes known to agree are never compared again.
 
@@ -15,21 +14,23 @@ a key range may go on in the next one: their starts are compared by digest in a
 from __future__ import annotations
 
 import hashlib
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import arrow_rows, cut_lineage
 
 LENGTH = 200
-ANCHOR = 40
+ANCHOR = 24
 #: Text that one sorted run covers (about 100 bytes a stretch), and bytes of text for each key range.
-RUN_BYTES, RANGE_BYTES = 16 << 20, 16 << 20
+RUN_BYTES, RANGE_BYTES = 16 << 20, 8 << 20
 #: A longer text is cut into chunks of so many starts.
 CHUNK = 1 << 22
 _POS = np.uint64((1 << 24) - 1)
@@ -86,15 +87,15 @@ def stretches(data: bytes, length: int = LENGTH, width: int = ANCHOR) -> Iterato
 
 
 def key_of(data: bytes, anchor: int, first: int, last: int, length: int = LENGTH) -> bytes:
-    """Bytes from the anchor on, then the bytes before it, backwards, then both lengths."""
+    """Bytes from the anchor on, then the bytes before it, then both lengths."""
     before, after = anchor - first, last + length - anchor
-    return data[anchor : last + length] + data[first:anchor][::-1] + before.to_bytes(2) + after.to_bytes(2)
+    return data[anchor : last + length] + data[first:anchor] + before.to_bytes(2) + after.to_bytes(2)
 
 
 def parts_of(key: bytes) -> tuple[bytes, bytes]:
     """The bytes before and from the anchor on."""
     before, after = int.from_bytes(key[-4:-2]), int.from_bytes(key[-2:])
-    return key[after : after + before][::-1], key[:after]
+    return key[after : after + before], key[:after]
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -114,24 +115,25 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
 # -- front-coded runs ---------------------------------------------------------------------------
 
 
-def write_run(entries: list[tuple[bytes, bytes, int, int]]) -> bytes:
-    """A sorted run of (key, 16-byte text digest, first start, last start), each key without the prefix that it shares with the one before."""
+def write_run(entries: list[tuple[bytes, int, int, int]]) -> bytes:
+    """A sorted run of (key, text number, first start, last start), each key without the prefix that it shares with the one before."""
     keys = [e[0] for e in entries]
     shared = [0, *map(common_prefix, keys, keys[1:])]
     tails = [k[n:] for k, n in zip(keys, shared)]
-    numbers = np.array([shared, list(map(len, tails)), [e[2] for e in entries], [e[3] for e in entries]], dtype="<i8")
-    pack = zstandard.ZstdCompressor(level=3).compress
-    head = pack(numbers.tobytes() + b"".join([e[1] for e in entries]))
+    numbers = np.array([shared, list(map(len, tails)), *([e[i] for e in entries] for i in (1, 2, 3))], dtype="<i8")
+    pack = zstandard.ZstdCompressor(level=5).compress
+    head = pack(numbers.view(np.uint8).reshape(5, -1, 8).transpose(0, 2, 1).tobytes())  # equal bytes of a column side by side
     return len(entries).to_bytes(4) + len(head).to_bytes(4) + head + pack(b"".join(tails))
 
 
-def read_run(blob: bytes) -> Iterator[tuple[int, bytes, bytes, int, int]]:
-    """(prefix shared with the entry before, rest of the key, digest, first start, last start) in key order."""
+def read_run(blob: bytes) -> Iterator[tuple[int, bytes, int, int, int]]:
+    """(prefix shared with the entry before, rest of the key, text number, first start, last start) in key order."""
     n, size = int.from_bytes(blob[:4]), int.from_bytes(blob[4:8])
     unpack = zstandard.ZstdDecompressor().decompress
-    head, tails, at = unpack(blob[8 : 8 + size]), unpack(blob[8 + size :]), 0
-    for i, (s, k, f, l) in enumerate(zip(*np.frombuffer(head[: 32 * n], dtype="<i8").reshape(4, n).tolist())):
-        yield s, tails[at : at + k], head[32 * n + 16 * i : 32 * n + 16 * i + 16], f, l
+    head = np.frombuffer(unpack(blob[8 : 8 + size]), dtype=np.uint8).reshape(5, 8, n).transpose(0, 2, 1)
+    tails, at = unpack(blob[8 + size :]), 0
+    for s, k, d, f, l in zip(*np.ascontiguousarray(head).view("<i8").reshape(5, n).tolist()):
+        yield s, tails[at : at + k], d, f, l
         at += k
 
 
@@ -224,7 +226,7 @@ def repeated_starts(keys: list[bytes], reach: list[int], length: int) -> list[li
     return found
 
 
-SPANS = "doc binary, lo long, hi long, digest binary"
+SPANS = "doc long, lo long, hi long, digest binary"
 
 
 def merge_range(runs: list[bytes], length: int = LENGTH, width: int = ANCHOR) -> Iterator[tuple]:
@@ -286,51 +288,69 @@ def merge_range(runs: list[bytes], length: int = LENGTH, width: int = ANCHOR) ->
 # -- Spark --------------------------------------------------------------------------------------
 
 
-def _splitters(source: DataFrame, ranges: int, length: int, width: int) -> list[bytes]:
-    """Keys that cut the key space in about equal ranges, from some of the texts (they only balance the work)."""
+def _splitters(source: DataFrame, ranges: int, per_range: int, length: int, width: int) -> list[bytes]:
+    """Keys that cut the key space in about equal ranges, from some of the texts (they only balance the work).
+
+    About sixteen keys for each range come to the driver, equal ones once.
+    """
     if ranges < 2:
         return []
+    rate = max(1, per_range // (16 * 16 * (length - width) // 2))
 
     def run(batches):
         keys = []
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for at, first, last in stretches(text, length, width):
-                    if at * 2654435761 >> 3 & 7 == 0:
+                    if zlib.crc32(text[at : at + length]) % rate == 0:
                         keys.append(key_of(text, at, first, last, length)[: length - width])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
 
     sampled = source.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 5).select("text").mapInArrow(run, "key binary")
-    keys = sorted({bytes(r.key) for r in sampled.orderBy(F.xxhash64("key")).limit(16 * ranges).collect()})
+    keys = sorted(bytes(r.key) for r in sampled.distinct().collect())
     return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
 
 
+#: Head of a row that names the texts of a task, not a run.
+_NAMES = b"\xff\xff\xff\xff"
+
+
 def _runs(source: DataFrame, cuts: list[bytes], length: int, width: int, run_bytes: int) -> DataFrame:
-    """Rows ``(range, run)``: the sorted, front-coded stretches of each slice of texts, by key range."""
+    """Rows ``(range, run)``: the sorted, front-coded stretches of each slice of texts, by key range.
+
+    Texts are numbered by task and place; each task also sends the digests of its texts, to some range.
+    """
     sent = source.sparkSession.sparkContext.broadcast(cuts)
     schema = pa.schema([("range", pa.int32()), ("run", pa.binary())])
 
-    def flush(entries):
+    def row(number, blob):
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([blob], pa.binary())], schema=schema)
+
+    def flush(entries, names, first_name):
         entries.sort()
         bounds = [bisect_left(entries, (c,)) for c in sent.value]
         lo = 0
         for number, hi in enumerate([*bounds, len(entries)]):
             if hi > lo:
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([write_run(entries[lo:hi])], pa.binary())], schema=schema)
+                yield row(number, write_run(entries[lo:hi]))
             lo = hi
+        yield row(first_name % (len(bounds) + 1), _NAMES + first_name.to_bytes(8) + b"".join(names))
         entries.clear()
 
     def run(batches):
-        entries, size = [], 0
+        entries, names = [], []
+        number = first_name = TaskContext.get().partitionId() << 40
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                doc = hashlib.md5(text).digest()
+                names.append(hashlib.md5(text).digest())
                 for at, first, last in stretches(text, length, width):
-                    entries.append((key_of(text, at, first, last, length), doc, first, last))
-                    if len(entries) * 100 >= run_bytes:
-                        yield from flush(entries)
-        if entries:
-            yield from flush(entries)
+                    entries.append((key_of(text, at, first, last, length), number, first, last))
+                number += 1
+                if len(entries) * 100 >= run_bytes:
+                    yield from flush(entries, names, first_name)
+                    names, first_name = [], number
+        if names:
+            yield from flush(entries, names, first_name)
 
     return source.select("text").mapInArrow(run, "range int, run binary")
 
@@ -342,21 +362,41 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, width: int = ANCHOR,
     """
     long_ = source.where(F.octet_length("text") >= length)
     total = long_.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    cuts = _splitters(long_, -(-total // range_bytes), length, width)
-    arrow = pa.schema([("doc", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64()), ("digest", pa.binary())])
+    cuts = _splitters(long_, -(-total // range_bytes), range_bytes, length, width)
+    arrow = pa.schema([("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("digest", pa.binary())])
 
     def merge(table: pa.Table) -> pa.Table:
         columns: tuple[list, ...] = ([], [], [], [])
-        for row in merge_range(table.column("run").to_pylist(), length, width):
+        blobs = table.column("run").to_pylist()
+        for blob in blobs:
+            if blob[:4] == _NAMES:
+                first, names = int.from_bytes(blob[4:12]), blob[12:]
+                for i in range(len(names) // 16):
+                    for c, x in zip(columns, (first + i, -1, -1, names[16 * i : 16 * i + 16])):
+                        c.append(x)
+        for row in merge_range([b for b in blobs if b[:4] != _NAMES], length, width):
             for c, x in zip(columns, row):
                 c.append(x)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     rows = cut_lineage(_runs(long_, cuts, length, width, run_bytes).groupBy("range").applyInArrow(merge, SPANS))
-    edges = rows.where("digest IS NOT NULL")
+    # of equal texts one number is enough: their spans are equal
+    names = rows.where("lo < 0").groupBy(F.col("digest").alias("name")).agg(F.min("doc").alias("doc"))
+    edges = rows.where("lo >= 0 AND digest IS NOT NULL")
     again = edges.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    covered = rows.where("digest IS NULL").select("doc", "lo", "hi").union(edges.join(again, "digest", "left_semi").select("doc", "lo", "hi"))
-    return covered.distinct().groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    covered = rows.where("lo >= 0 AND digest IS NULL").select("doc", "lo", "hi").union(edges.join(again, "digest", "left_semi").select("doc", "lo", "hi"))
+    spans = covered.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return spans.join(names, "doc").select(F.col("name").alias("doc"), "spans")
+
+
+def _packed(source: DataFrame) -> DataFrame:
+    """Rows ``(doc_id, doc, text)`` with the text's MD5 digest and the compressed text, for the exchange."""
+
+    def rows(keys, texts):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        yield {"doc_id": keys, "doc": [hashlib.md5(t).digest() for t in texts], "text": [pack(t) for t in texts]}
+
+    return arrow_rows(source.select("doc_id", "text"), rows, "doc_id long, doc binary, text binary")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -371,7 +411,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     spans = repeated_spans(source.select("text"), length, **sizes)
-    joined = source.withColumn("doc", F.unhex(F.md5("text"))).join(spans, "doc", "left").select("doc_id", "text", "spans")
+    joined = _packed(source).join(spans, "doc", "left").select("doc_id", "text", "spans")
     names = [x.split()[0] for x in RESULT.split(", ")]
     if not keep_text:
         names = names[:-1]
@@ -379,7 +419,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
 
     def rows(keys, texts, spans):
         out: dict[str, list] = {n: [] for n in names}
+        unpack = zstandard.ZstdDecompressor().decompress
         for k, t, found in zip(keys, texts, spans):
+            t = unpack(t)
             kept, at, removed, runs = [], 0, 0, 0
             for lo, hi in sorted((x["lo"], x["hi"]) for x in found or ()):
                 if lo > at or not runs:
