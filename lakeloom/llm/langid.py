@@ -14,10 +14,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import arrow_rows, remainder
+from lakeloom.llm.common import cut_lineage, remainder, slices
 
 ORDER = 4
-#: Bound of the model that is sent to the executors: so many 4-grams, the most frequent, at most.
+#: Bound of the model that is sent to the executors: so many 4-grams at most; beyond it those below a power of two
+#: of occurrences are left out.
 MAX_GRAMS = 1_000_000
 #: Nats of cross-entropy over the training mean that are still accepted, besides sampling noise.
 SLACK, NOISE = 2.0, 8.0
@@ -70,21 +71,44 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return gram[use], doc[use], letters
 
 
+#: Distinct grams of one language that a task holds before it passes them on.
+HELD_GRAMS = 500_000
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    values, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    return values, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """Rows ``(lang, gram, n)`` over all rows with a language; long texts and hot languages are pre-added in their tasks."""
-
-    def rows(langs, texts):
-        names = sorted(set(langs))
-        out = {"lang": [], "gram": [], "n": []}
-        for name in names:
-            gram, _, _ = encode([t for t, x in zip(texts, langs) if x == name])
-            values, n = np.unique(gram, return_counts=True)
-            out["lang"] += [name] * len(values)
-            out["gram"].append(values.view(np.int64))
-            out["n"].append(n)
-        yield {"lang": out["lang"], "gram": np.concatenate(out["gram"]), "n": np.concatenate(out["n"])}
-
-    part = arrow_rows(docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")), rows, "lang string, gram long, n long", slice_bytes=16 << 20)
+    """Rows ``(lang, gram, n)`` over all rows with a language.
+
+    Slices of bounded size are counted and added up in their task, so long texts and hot languages
+    send no more rows than there are grams.
+    """
+    import pyarrow as pa
+
+    schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+
+    def batch(name, counted):
+        values, n = counted
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n)], schema=schema)
+
+    def run(batches):
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for lo, hi in slices([texts], len(texts), 1 << 20):
+                for name in set(langs[lo:hi]):
+                    gram, _, _ = encode([t for t, x in zip(texts[lo:hi], langs[lo:hi]) if x == name])
+                    new = np.unique(gram, return_counts=True)
+                    held[name] = _added([held[name], new]) if name in held else new
+                    if len(held[name][0]) > HELD_GRAMS:
+                        yield batch(name, held.pop(name))
+        for name, counted in held.items():
+            yield batch(name, counted)
+
+    part = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(run, "lang string, gram long, n long")
     return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -191,7 +215,7 @@ class Model:
         """Nats a character in each language, characters and letters of each text."""
         gram, doc, letters = encode(texts)
         total = np.zeros((len(texts), len(self.langs)))
-        step = max(1, (1 << 20) // max(1, len(self.langs)))
+        step = max(1, (1 << 19) // max(1, len(self.langs)))
         for lo in range(0, len(gram), step):
             part = doc[lo : lo + step]
             logp = self.logp(gram[lo : lo + step], ORDER)
@@ -216,9 +240,17 @@ class Model:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS) -> Model | None:
     """Model of all rows with a language; None where there are none.
 
-    The table that comes to the driver has ``max_grams`` rows at most.
+    The table that comes to the driver has ``max_grams`` rows at most, chosen by a histogram of the counts.
     """
-    grams = count_grams(docs, text, lang).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
+    counted = cut_lineage(count_grams(docs, text, lang))
+    sizes = counted.groupBy(F.floor(F.log2("n")).alias("size")).count().collect()  # at most 64 rows
+    least, rows = 0, sum(r["count"] for r in sizes)
+    for r in sorted(sizes, key=lambda r: r["size"]):
+        if rows <= max_grams:
+            break
+        rows -= r["count"]
+        least = 1 << r["size"] + 1
+    grams = counted.where(F.col("n") >= least).toPandas()
     if grams.empty:
         return None
     langs = sorted(set(grams["lang"]))
@@ -234,7 +266,6 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
     import pyarrow as pa
-    from lakeloom.llm.common import slices
 
     new = ["lang_pred", "lang_score", "cross_entropy", "rejected"]
     kept = docs.drop(*new)
@@ -246,7 +277,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
         for batch in batches:
             texts = batch.column(place).to_pylist()
             parts = [[], [], [], []]
-            for lo, hi in slices([texts], len(texts), 2 << 20):
+            for lo, hi in slices([texts], len(texts), 1 << 20):
                 if sent.value is None:
                     got = [UNKNOWN] * (hi - lo), np.zeros(hi - lo), np.zeros(hi - lo), np.ones(hi - lo, dtype=bool)
                 else:
