@@ -21,7 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 1024
+#: Documents that a task packs together; their unfinished tails are in memory meanwhile.
+FLUSH = 20_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+COLUMNS = tuple(x.split()[0] for x in SCHEMA.split(", "))
 
 # Pre-token pattern of the byte-level BPE vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,7 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: them are the only white space.
 OTHERS = re.compile("[^\n -~\u00a1-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2013\u2014\u2018-\u201e\u2026\u20ac]").search
 RUNS = ("  ", " \n", "\n ", "\n\n")
-CACHE = 600_000
+CACHE = 300_000
 
 
 class Tokenizer(dict):
@@ -161,36 +164,35 @@ def pack(docs: DataFrame, tokenizer_path: str = "byte_bpe_50k.json", capacity: i
     def run(batches):
         encode = tokenizer(tokenizer_path)
         end = int(end_id).to_bytes(4, "little")
-        packer = SumOfSquares(capacity)
-        keys, sizes, crcs = [], [], {}
+        number = TaskContext.get().partitionId() << 40
+        packer, held = SumOfSquares(capacity), []
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(t or "") + end
                 n = len(ids) // 4
-                owner = len(keys)
-                keys.append(k)
-                sizes.append(n)
-                packer.add(owner, n)
-                crcs[owner] = ids if n % capacity else b""
                 whole = n - n % capacity
-                for at in range(0, whole, capacity):
-                    crcs[owner, at] = zlib.crc32(ids[4 * at : 4 * (at + capacity)])
-                crcs[owner] = ids[4 * whole :]
-        base = TaskContext.get().partitionId() << 40
-        out: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-        for number, bin_ in enumerate(packer.finish()):
+                packer.add(len(held), n)
+                held.append((k, n, [zlib.crc32(ids[4 * at : 4 * (at + capacity)]) for at in range(0, whole, capacity)], ids[4 * whole :]))
+                if len(held) == FLUSH:
+                    yield from emit(packer, held, number)
+                    number += len(packer.closed)
+                    packer, held = SumOfSquares(capacity), []
+        yield from emit(packer, held, number)
+
+    def emit(packer, held, number):
+        out: dict[str, list] = {n: [] for n in COLUMNS}
+        for sequence, bin_ in enumerate(packer.finish(), number):
             offset = 0
             for owner, start, length in bin_:
-                crc = crcs.get((owner, start)) if length == capacity else None
-                if crc is None:
-                    whole = sizes[owner] - sizes[owner] % capacity
-                    crc = zlib.crc32(crcs[owner][4 * (start - whole) : 4 * (start - whole + length)])
-                for name, value in zip(out, (keys[owner], start, length, crc, sizes[owner], base + number, offset)):
-                    out[name].append(value)
+                k, n, crcs, tail = held[owner]
+                at = start - capacity * len(crcs)
+                crc = crcs[start // capacity] if at < 0 else zlib.crc32(tail[4 * at : 4 * (at + length)])
+                for values, x in zip(out.values(), (k, start, length, crc, n, sequence, offset)):
+                    values.append(x)
                 offset += length
             if len(out["doc_id"]) >= 10_000:
                 yield _batch(out)
-                out = {n: [] for n in out}
+                out = {n: [] for n in COLUMNS}
         if out["doc_id"]:
             yield _batch(out)
 

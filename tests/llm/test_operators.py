@@ -216,6 +216,13 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got) and sum(r.rejected for r in got) <= 0.01 * len(got)
 
 
+def test_language_model_bound(spark):
+    base = table(spark, SF, "documents")
+    whole, small = langid.train(base), langid.train(base, max_grams=2000)
+    assert len(small.tables[-1].values) <= 2000 < len(whole.tables[-1].values)
+    assert langid.identify(base, small).where("lang_pred = lang").count() >= 190
+
+
 def test_language_rejects(spark):
     base = table(spark, SF, "documents")
     model = langid.train(base)
@@ -310,7 +317,7 @@ def test_loser_tree_merges():
     for n in (1, 2, 3, 7):
         runs = [[] for _ in range(n)]
         for k in keys:
-            runs[r.randrange(n)].append((k, b"d" * 16, 0, 0))
+            runs[r.randrange(n)].append((k, 5 << 40, 0, 0))
         last = b""
         merged = []
         for shared, key, *_ in suffix.LoserTree([suffix.write_run(x) for x in runs if x]):
