@@ -191,6 +191,25 @@ def test_near_dedup_stage(spark):
     assert len(kept) == len(set(got.values())) + 1 and None in kept
 
 
+def test_near_dedup_against_brute_force(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    shared = [word() for _ in range(40)]
+    rows = []
+    for i in range(25):
+        base = [word() for _ in range(r.randint(30, 250))] + (shared if i % 2 else [])
+        rows.append((i, base))
+        for j, share in enumerate((0.03, 0.08, 0.14, 0.18, 0.22)):
+            n = int(share * len(base))
+            block = [word() for _ in range(n)]
+            rows += [(1000 + 20 * i + 4 * j + k, x) for k, x in enumerate((base + block, base[: len(base) - n], block + base, base[: len(base) // 2] + block + base[len(base) // 2 :]))]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in rows}
+    ids = sorted(sets)
+    linked = [(a, b) for a in ids for b in ids if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    assert {x.doc_id: x.component_id for x in neardedup.classes(df).collect()} == components(ids, linked)
+
+
 # -- language, decontamination, suffixes ------------------------------------------------------------
 
 
