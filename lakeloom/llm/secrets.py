@@ -14,14 +14,20 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Runs of token characters, and quoted values of assignments.
-CANDIDATE = r"(?<=[=:]\s{0,1}[\"'])[^\s\"']{8,}+|[A-Za-z0-9+/_-]{16,}+={0,2}"
 CONTEXT = 48
 KEYWORDS = "token|secret|passwd|password|passphrase|pwd|api.?key|apikey|access.?key|private.?key|auth|bearer|credential|signature"
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abpr]-|sk_live_|rk_live_|sk-|AIza|eyJ|npm_|pypi-"
+#: Passwords in URLs, quoted values of assignments, values assigned to a keyword, quoted or not, and runs of token
+#: characters.  The short look back goes first, so the long one is seldom tried.
+CANDIDATE = (
+    r"(?<=:)(?<=://[^\s:/@\"']{0,40}:)[^\s/\"']{3,}(?=@)"
+    r"|(?<=[=:>]\s{0,1}[\"'])[^\s\"']{8,}+"
+    rf"|(?<=[=:>]\s{{0,2}}[\"'`]?)(?<=(?i:{KEYWORDS})s?(?:[_-]\w{{0,16}})?[\"'`]?\s{{0,2}}(?:=>|:=|=|:)\s{{0,2}}[\"'`]?)[^\s\"'`]{{5,}}[^\s\"'`,;.)\]}}>]"
+    r"|[A-Za-z0-9+/_-]{16,}+={0,2}"
+)
 #: Words whose share of a candidate speaks for a name, a path or a placeholder.
 DICTIONARY = "example|sample|test|dummy|changeme|change|your|here|placeholder|insert|replace|default|foo|bar|xxx|todo|none|null|undefined|user|name|file|path|home|index|page|version|build|config|static|image|content|document|article|service|server|client|manager|factory|handler|value|string|number|data|code|public|local|http|www|com|org|net|html|the|and|ing|tion|ment|heit|keit|lich|ung|eau|eux|con|ent|est|ter|ver|ist|ble|her|ate|all"
-FEATURES = ("length", "digits", "uppers", "transitions", "distinct", "vowels", "dictionary", "hex", "longest_letters", "path", "url", "assigned", "keyword", "quoted", "prefix", "commit", "separators")
+FEATURES = ("length", "digits", "uppers", "transitions", "distinct", "vowels", "dictionary", "hex", "longest_letters", "path", "url", "assigned", "keyword", "quoted", "prefix", "commit", "separators", "in_url")
 TREES, DEPTH, THRESHOLD = 24, 6, 0.5
 
 
@@ -45,12 +51,13 @@ def feature_columns(value: Column, left: Column, right: Column) -> list[Column]:
         F.coalesce(F.array_max(F.transform(letters, lambda x: F.length(x))), F.lit(0)).cast("double"),
         flag(value.contains("/") | left.rlike(r"[/\\]$") | right.rlike(r"^[/\\.]\w")),
         flag(left.rlike(r"(?i)(https?:|www\.)\S*$")),
-        flag(left.rlike(r"[=:]\s?[\"'`]?$")),
-        flag(left.rlike(rf"(?i)({KEYWORDS})\W{{0,4}}$")),
+        flag(left.rlike(r"[=:]>?\s{0,2}[\"'`]?$")),
+        flag(left.rlike(rf"(?i)({KEYWORDS})s?(?:[_-]\w{{0,16}})?\W{{0,6}}$")),
         flag(right.rlike("^[\"'`]")),
         flag(value.rlike(f"^({PREFIXES})")),
         flag(left.rlike(r"(?i)(commit|sha-?\d*|md5|checksum|digest|hash|rev|revision|uuid|guid|id|etag|version|blob|tree)\W{0,4}$")),
         share("[/_=+-]"),
+        flag(left.rlike(r"://[^\s:/@]{0,40}:$") & right.startswith("@")),
     ]
 
 
@@ -70,7 +77,7 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
         assign = prose() + key + r.choice([" = ", "=", ": ", ' => "'[:4], ":"]) + quote
         after = quote + r.choice([" ", "\n", "", "### ", ", "]) + word()
         if i % 2:
-            kind = r.randrange(5)
+            kind = r.randrange(7)
             if kind == 0:
                 value = hexes(r.choice([32, 40, 40, 64]))
             elif kind == 1:
@@ -81,13 +88,17 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
                 value = r.choice(["AKIA" + take(alnum[:26] + alnum[52:], 16), "ghp_" + take(alnum, 36), "sk_live_" + take(alnum, 24), "xoxb-" + take("0123456789", 12) + "-" + take(alnum, 24), "AIza" + take(alnum + "_-", 35)])
                 if r.random() < 0.5:
                     assign, after = prose(), " " + word()
-            else:
+            elif kind == 4:
                 value = take(alnum + "!@#$%^&*", r.randint(10, 18))
+            else:
+                value = r.choice([word()[: r.randint(4, 8)] + take("0123456789", r.randint(1, 4)) + take(alnum[26:], r.randint(1, 4)), word()[:3].capitalize() + take("0123456789", 2) + word()[:4] + r.choice("!@#$%^&*") + take("0123456789", 1), take(alnum, r.randint(8, 15))])
+                if kind == 6:
+                    assign, after = prose() + r.choice(["postgres", "mysql", "redis", "https", "amqp", "mongodb+srv"]) + "://" + r.choice(["user", "admin", word()]) + ":", "@" + word() + r.choice([".example.org/", ":5432/", "/"]) + word()
             if kind < 3 and r.random() < 0.25:
                 value, assign = value.upper() if kind == 0 else value, assign.upper()
             out.append((value, assign[-CONTEXT:], after[:CONTEXT], 1))
             continue
-        kind = r.randrange(9)
+        kind = r.randrange(11)
         left, right = prose(), " " + word()
         if kind == 0:
             value, left = hexes(40), prose() + r.choice(["commit ", "rev ", "sha1: ", "blob/"])
@@ -108,6 +119,11 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
             value, left, right = r.choice(["your_api_key_here", "example_token_1234", "changeme-placeholder", "xxxxxxxxxxxxxxxxxxxx", "insert-your-secret-here", "test_test_test_1234", "dummy-password-value"]), assign[-CONTEXT:], after
         elif kind == 7:
             value, left = "-".join(word() for _ in range(4)), prose() + "https://example.org/en/" + str(r.randint(1, 9999)) + "/"
+        elif kind == 8:
+            value, left, right = r.choice([word(), word() + r.choice(["-", "_", "/"]) + word(), word().capitalize()]) + r.choice(["", "", "ing", "tion"]), assign[-CONTEXT:], after
+            value = value if len(value) >= 6 else value + "lichkeit"
+        elif kind == 9:
+            value, left, right = r.choice(["os.environ[", "${" + word().upper() + "}", "$" + word().upper(), "config." + word(), "get_" + word() + "(", "self." + word() + "_" + word(), "process.env." + word().upper(), "<" + word() + ">", "{{" + word() + "}}"]), assign[-CONTEXT:], after
         else:
             value = r.choice(["----", "====", "____"]) * r.randint(4, 12) if r.random() < 0.5 else "_".join([word(), word(), word()])
         out.append((value, left[-CONTEXT:], right[:CONTEXT], 0))

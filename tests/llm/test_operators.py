@@ -459,6 +459,20 @@ def test_secret_forest(spark, docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_secret_candidates(spark):
+    made = [(i, left + value + right, value, label) for i, (value, left, right, label) in enumerate(secrets.labelled_findings(2000, seed=5))]
+    plain = ["DB_PASSWORD=Tr0ub4dor&3\n", "password: hunter2abc", "see postgres://user:s3cr3t@host/db", "token => 'a8$kfw!pQ2'", "SECRET_KEY_BASE = x9!vVq2#Lm"]
+    want = ["Tr0ub4dor&3", "hunter2abc", "s3cr3t", "a8$kfw!pQ2", "x9!vVq2#Lm"]
+    made += [(10000 + i, t, v, 1) for i, (t, v) in enumerate(zip(plain, want))]
+    rows = secrets.scored(spark.createDataFrame(made, "doc_id long, text string, value string, label int")).collect()
+    missed = [r.text for r in rows if r.label and not any(r.value in f.value for f in r["__findings"])]
+    assert not missed
+    for r in rows[-len(plain) :]:
+        assert [f.value for f in r["__findings"] if f.score >= 0.5] == [r.value]
+    prose = spark.createDataFrame([(1, "The token: something else. Author: Shakespeare, password = os.environ and secret: nothing important.")], "doc_id long, text string")
+    assert secrets.redact(prose).first().text == prose.first().text
+
+
 def test_levenshtein_automaton_against_brute_force():
     r = random.Random(7)
     word = lambda n: "".join(r.choice("abc") for _ in range(n))
