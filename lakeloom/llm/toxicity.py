@@ -12,9 +12,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import arrow_rows, cut_lineage, remainder
@@ -82,7 +83,8 @@ def learn_lexicon(texts: DataFrame) -> list[str]:
     """Words (ending in a dot) and stems of the bounded sample ``texts(text, toxic)`` that mark toxic rows.
 
     Greedy cover: the gram whose toxic rows are least likely by chance, then the same among the rows
-    that are left, until chance explains the rest.  Grams beyond chance on all rows are added.
+    that are left, until chance explains the rest.  Grams beyond chance on all rows are added, and the
+    words of the sample under a chosen stem that mark toxic rows.
     """
 
     def rows(values, toxic):
@@ -138,7 +140,13 @@ def learn_lexicon(texts: DataFrame) -> list[str]:
         covered = any(not c.endswith(".") and g.startswith(c) for c in chosen)
         if not covered and not any(c.startswith(g) and alone[c] >= alone[g] - 1e-6 for c in chosen):
             chosen.append(g)
-    return sorted(chosen)
+    # the words under a stem that mark toxic rows stand beside it, so that they are found misspelled too
+    under = [F.substring("gram", 1, k).isin(at) for k in range(STEM[0], STEM[1] + 1) if (at := [c for c in chosen if len(c) == k and not c.endswith(".")])]
+    if under:
+        words_ = counted.where(F.col("gram").endswith(".") & reduce(Column.__or__, under))
+        often = words_.groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where("bad >= 1 AND bad >= 0.8 * n")
+        chosen += [r.gram for r in often.collect()]
+    return sorted(set(chosen))
 
 
 def edits(size: int) -> int:

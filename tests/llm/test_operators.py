@@ -473,6 +473,16 @@ def test_secret_candidates(spark):
     assert secrets.redact(prose).first().text == prose.first().text
 
 
+def test_misspelled_words_under_a_stem(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = [(" ".join([*[word() for _ in range(12)], *([r.choice(["loser", "losers"])] if i % 5 == 0 else [])]), int(i % 5 == 0)) for i in range(300)]
+    terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert any(not t.endswith(".") and "losers".startswith(t) for t in terms)
+    a = toxicity.LexiconAutomaton(terms)
+    assert [a.lookup(w) for w in ("loser", "losers", "looser", "lozers", "wonder")] == [1, 1, 2, 2, 0]
+
+
 def test_levenshtein_automaton_against_brute_force():
     r = random.Random(7)
     word = lambda n: "".join(r.choice("abc") for _ in range(n))
