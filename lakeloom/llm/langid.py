@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import cut_lineage, remainder, slices
 
 ORDER = 4
-#: Bound of the model that is sent to the executors: so many 4-grams at most; beyond it those below a power of two
-#: of occurrences are left out.
-MAX_GRAMS = 1_000_000
 #: Nats of cross-entropy over the training mean that are still accepted, besides sampling noise.
 SLACK, NOISE = 2.0, 8.0
 #: Sharpness of ``score``: softmax of the negative entropies (nats a character) times this.
@@ -237,25 +234,33 @@ class Model:
         return names, np.where(unknown, 0.0, score), entropy, unknown | (entropy > limit)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS) -> Model | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int | None = None) -> Model | None:
     """Model of all rows with a language; None where there are none.
 
-    The table that comes to the driver has ``max_grams`` rows at most, chosen by a histogram of the counts.
+    All counts are kept, so the table that comes to the driver grows with the distinct 4-grams of the corpus.
+    With ``max_grams`` it has so many rows at most, chosen by a histogram of the counts.
     """
     counted = cut_lineage(count_grams(docs, text, lang))
-    sizes = counted.groupBy(F.floor(F.log2("n")).alias("size")).count().collect()  # at most 64 rows
-    least, rows = 0, sum(r["count"] for r in sizes)
-    for r in sorted(sizes, key=lambda r: r["size"]):
-        if rows <= max_grams:
-            break
-        rows -= r["count"]
-        least = 1 << r["size"] + 1
-    grams = counted.where(F.col("n") >= least).toPandas()
-    if grams.empty:
+    least = 0
+    if max_grams is not None:
+        sizes = counted.groupBy(F.floor(F.log2("n")).alias("size")).count().collect()  # at most 64 rows
+        rows = sum(r["count"] for r in sizes)
+        for r in sorted(sizes, key=lambda r: r["size"]):
+            if rows <= max_grams:
+                break
+            rows -= r["count"]
+            least = 1 << r["size"] + 1
+    langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    code = {x: i for i, x in enumerate(langs)}
+    coded = counted.where(F.col("n") >= least)
+    if not langs or coded.isEmpty():
         return None
-    langs = sorted(set(grams["lang"]))
-    code = grams["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
-    return Model(langs, code, grams["gram"].to_numpy().view(np.uint64), grams["n"].to_numpy())
+    # short codes instead of names come to the driver
+    place = F.element_at(F.create_map(*[F.lit(v) for kv in code.items() for v in kv]), F.col("lang"))
+    grams = coded.select(place.cast("int").alias("lang"), "gram", "n").toArrow()
+    lang_, gram, n = (grams.column(i).to_numpy() for i in range(3))
+    left = np.unique(lang_)
+    return Model([langs[i] for i in left], np.searchsorted(left, lang_), gram.view(np.uint64), n)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -242,6 +242,16 @@ def test_language_model_bound(spark):
     assert langid.identify(base, small).where("lang_pred = lang").count() >= 190
 
 
+def test_language_keeps_all_counts(spark):
+    r = random.Random(6)
+    big = [("".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(11_000)), "zh") for _ in range(100)]
+    small = "kelo muvira tansu bopeq dirwal"
+    base = spark.createDataFrame([*big, (small, "small")], "text string, lang string")
+    model = langid.train(base)
+    assert model.langs == ["small", "zh"] and len(model.tables[-1].values) > 1_000_000
+    assert langid.identify(spark.createDataFrame([(small,)], "text string"), model).first().lang_pred == "small"
+
+
 def test_language_rejects(spark):
     base = table(spark, SF, "documents")
     model = langid.train(base)
