@@ -152,6 +152,8 @@ q(
        row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id)::INT AS rank
        FROM embeddings a, embeddings b WHERE a.vec_id < 5 QUALIFY rank <= 5""",
 )(lambda t: near_join(t("embeddings").filter("vec_id", "<", 5).df, "embedding", "vec_id", t("embeddings").df, "embedding", "vec_id", 5).withColumn("distance", F.round("distance", 6)))
+# the stated query set of searches, against all rows; tests hold it against brute force
+q("near_join_all", None)(lambda t: near_join(Frame.of(t("embeddings").df.where("vec_id % 20 = 0")).df, "embedding", "vec_id", t("embeddings").df, "embedding", "vec_id").withColumn("distance", F.round("distance", 6)))
 
 # -- aggregation ----------------------------------------------------------------------------------
 

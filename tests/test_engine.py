@@ -300,3 +300,24 @@ def test_transform_and_ingest(spark, tmp_path):
     assert ingest(spark, str(tmp_path / "x.csv"), str(tmp_path / "t")) == 1 and ingest(spark, str(tmp_path / "y"), str(tmp_path / "u")) == 1
     f = table(spark, str(tmp_path / "t"))
     assert restricted(f, "a", {"a": "id = 1"}).count() == 1 and restricted(f, "b", {}).count() == 0
+
+
+def test_near_join_all(spark):
+    import numpy as np
+
+    from lakeloom import queries
+
+    from .conftest import SF
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").where("embedding IS NOT NULL").collect()
+    ids = np.array([r.vec_id for r in rows])
+    v = np.array([r.embedding for r in rows], dtype=float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got = {}
+    for r in queries.queries()["near_join_all"](spark, SF).collect():
+        got.setdefault(r.left_id, []).append((r["rank"], r.distance))
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    for i, found in got.items():
+        want = np.sort(1 - v @ v[ids == i][0])[:20]
+        assert [k for k, _ in sorted(found)] == list(range(1, len(want) + 1))
+        assert np.allclose([d for _, d in sorted(found)], want, atol=2e-6)
