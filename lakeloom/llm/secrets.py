@@ -18,12 +18,13 @@ CONTEXT = 48
 KEYWORDS = "token|secret|passwd|password|passphrase|pwd|api.?key|apikey|access.?key|private.?key|auth|bearer|credential|signature"
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abpr]-|sk_live_|rk_live_|sk-|AIza|eyJ|npm_|pypi-"
 #: Passwords in URLs, quoted values of assignments, values assigned to a keyword, quoted or not, and runs of token
-#: characters.  The short look back goes first, so the long one is seldom tried.
+#: characters.  No candidate starts behind a token character, so most places of a text cost one short look back.
 CANDIDATE = (
+    r"(?<![A-Za-z0-9+/_-])(?:"
     r"(?<=:)(?<=://[^\s:/@\"']{0,40}:)[^\s/\"']{3,}(?=@)"
     r"|(?<=[=:>]\s{0,1}[\"'])[^\s\"']{8,}+"
     rf"|(?<=[=:>]\s{{0,2}}[\"'`]?)(?<=(?i:{KEYWORDS})s?(?:[_-]\w{{0,16}})?[\"'`]?\s{{0,2}}(?:=>|:=|=|:)\s{{0,2}}[\"'`]?)[^\s\"'`]{{5,}}[^\s\"'`,;.)\]}}>]"
-    r"|[A-Za-z0-9+/_-]{16,}+={0,2}"
+    r"|[A-Za-z0-9+/_-]{16,}+={0,2})"
 )
 #: Words whose share of a candidate speaks for a name, a path or a placeholder.
 DICTIONARY = "example|sample|test|dummy|changeme|change|your|here|placeholder|insert|replace|default|foo|bar|xxx|todo|none|null|undefined|user|name|file|path|home|index|page|version|build|config|static|image|content|document|article|service|server|client|manager|factory|handler|value|string|number|data|code|public|local|http|www|com|org|net|html|the|and|ing|tion|ment|heit|keit|lich|ung|eau|eux|con|ent|est|ter|ver|ist|ble|her|ate|all"
@@ -180,51 +181,71 @@ def forest_column(model: tuple, features: Column) -> Column:
     return total / float(len(model))
 
 
-def candidates(text: Column) -> Column:
-    """Array of (start, value, left, right) of each candidate of a text; start counts characters from 0."""
-    values = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    between = F.split(text, CANDIDATE, -1)
-    size = F.size(values)
-    pairs = F.when(size > 0, F.transform(values, lambda v, i: F.struct(v.alias("value"), F.get(between, i).alias("before"), F.get(between, i + 1).alias("after"))))
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string,left:string,right:string>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["before"]) + F.length(p["value"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["before"])).alias("start"), p["value"].alias("value"), F.right(p["before"], F.lit(CONTEXT)).alias("left"), F.left(p["after"], F.lit(CONTEXT)).alias("right")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.coalesce(walked, F.array().cast("array<struct<start:int,value:string,left:string,right:string>>"))
-
-
-def scored(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``__findings``: its candidates, each with the forest's probability."""
+def running_sum(sizes: Column) -> Column:
+    """Sums of an array up to each place, by doubling: n log n steps, where a fold that appends takes n squared."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(sizes), F.lit(2)))).cast("int") - 1)
+
+    def add(sums: Column, k: Column) -> Column:
+        ahead = F.concat(F.array_repeat(F.lit(0), F.call_function("shiftleft", F.lit(1), k)), sums)
+        return F.zip_with(sums, F.slice(ahead, F.lit(1), F.size(sums)), lambda a, b: a + b)
+
+    return F.aggregate(steps, sizes, add)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, in any case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def candidates(docs: DataFrame, text: str, found: str, tail: str) -> DataFrame:
+    """``docs`` with ``found``, the array of (start, value, before, left, right) of each candidate of a text, and the text after the last.
+
+    ``before`` is the text since the candidate before it; start counts characters from 0.  A null or
+    empty text has no candidates.  Work and memory follow the text: each array is made once.
+    """
+    parts = docs.select("*", F.coalesce(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>")).alias(found))
+    some = F.size(found) > 0
+    between = unused(parts, "__between")
+    parts = parts.withColumn(between, F.when(some, F.split(F.col(f"`{text}`"), CANDIDATE, -1)))
+    ends = unused(parts, "__ends")
+    parts = parts.withColumn(ends, F.when(some, running_sum(F.zip_with(F.slice(between, F.lit(1), F.size(found)), F.col(found), lambda b, v: F.length(b) + F.length(v)))))
+    rows = F.arrays_zip(F.col(found).alias("value"), F.slice(between, F.lit(1), F.size(found)).alias("before"), F.slice(between, F.lit(2), F.size(found)).alias("after"), F.col(ends).alias("ends"))
+    made = F.transform(rows, lambda r: F.struct((r["ends"] - F.length(r["value"])).alias("start"), r["value"].alias("value"), r["before"].alias("before"), F.right(r["before"], F.lit(CONTEXT)).alias("left"), F.left(r["after"], F.lit(CONTEXT)).alias("right")))
+    kept = [c for c in docs.columns]
+    return parts.select(*[F.col(f"`{c}`") for c in kept], F.when(some, made).alias(found), F.when(some, F.element_at(between, -1)).alias(tail))
+
+
+def scored(docs: DataFrame, text: str, found: str, tail: str) -> DataFrame:
+    """``candidates`` with the forest's probability as ``score`` of each candidate, and its features as ``x``."""
     model = forest(docs.sparkSession)
-    found = docs.withColumn("__candidates", candidates(F.col(text)))
-    featured = found.withColumn("__featured", F.transform("__candidates", lambda c: F.struct(c.alias("c"), F.array(*feature_columns(c["value"], c["left"], c["right"])).alias("x"))))
-    score = F.transform("__featured", lambda f: F.struct(f["c"]["start"].alias("start"), f["c"]["value"].alias("value"), F.round(forest_column(model, f["x"]), 6).alias("score")))
-    return featured.withColumn("__findings", score).drop("__candidates", "__featured")
+    rows = candidates(docs, text, found, tail)
+    featured = rows.withColumn(found, F.transform(found, lambda c: c.withField("x", F.array(*feature_columns(c["value"], c["left"], c["right"])))))
+    return featured.withColumn(found, F.transform(found, lambda c: c.withField("score", F.round(forest_column(model, c["x"]), 6))))
 
 
 def secret_scan(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each candidate: ``(doc_id, start, length, score, is_secret, secret_sha256)``.
 
     Null and empty texts have no candidates; repeated rows give repeated findings; null ids stay null;
-    an empty table gives no rows; other columns are ignored.
+    an empty table gives no rows; other columns are ignored, whatever their names.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    each = scored(source).select("doc_id", F.explode("__findings").alias("f"))
+    each = scored(source, "text", "found", "tail").select("doc_id", F.explode("found").alias("f"))
     return each.select("doc_id", F.col("f.start").cast("long").alias("start"), F.length("f.value").cast("long").alias("length"), F.col("f.score").alias("score"), (F.col("f.score") >= threshold).alias("is_secret"), F.sha2("f.value", 256).alias("secret_sha256"))
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each found secret replaced by ``mask``; other texts, and all other columns, are as they were."""
-    secrets = F.expr(f"filter(__findings, f -> f.score >= {threshold})")
-    cut = F.aggregate(
-        secrets,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, f: F.struct((f["start"] + F.length(f["value"])).alias("at"), F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, f["start"] - acc["at"]), F.lit(mask)).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))),
-    )
-    return scored(docs, text).withColumn(text, F.when(F.exists("__findings", lambda f: f["score"] >= threshold), cut).otherwise(F.col(text))).drop("__findings")
+    """``docs`` with each found secret replaced by ``mask``; other texts, and all other columns, are as they were.
+
+    Null and empty texts stay so; repeated rows stay; an empty table stays empty; columns of any name
+    may stand beside the text.
+    """
+    found = unused(docs, "__found")
+    tail = unused(docs, "__tail")
+    parts = F.transform(found, lambda f: F.concat(f["before"], F.when(f["score"] >= threshold, F.lit(mask)).otherwise(f["value"])))
+    cut = F.when(F.exists(found, lambda f: f["score"] >= threshold), F.concat(F.array_join(parts, ""), F.col(tail))).otherwise(F.col(f"`{text}`"))
+    rows = scored(docs, text, found, tail)
+    return rows.select(*[(cut if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns])
