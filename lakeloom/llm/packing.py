@@ -2,9 +2,12 @@
 
 Each task packs the documents of its own input partition, so no text is shuffled.  Whole sequences
 are cut off a long document; what remains goes to the fill level that minimises the sum of squared
-counts of partially filled sequences, tracked in a level array.  At the end of the partition the
-sequences that are still open are cut and joined to full ones; the last tokens fill sequences of
-powers of two, which need no padding.
+counts of partially filled sequences, tracked in a level array.  A level holds at most
+``level_limit`` sequences: where every level that could take a document whole is full, the document
+is cut to close the fullest sequence.  So a task holds a bounded number of open sequences, whatever
+its documents; a sequence leaves memory as it fills.  At the end of the partition the few that are
+still open are cut and joined to full ones; the last tokens fill sequences of powers of two, which
+need no padding.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import os
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 1024
-#: Documents that a task packs together; their unfinished tails are in memory meanwhile.
-FLUSH = 20_000
+#: Open sequences of one fill level; with 4 KB a sequence, a task holds 32 MB of ids at the very most.
+LEVEL_LIMIT = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COLUMNS = tuple(x.split()[0] for x in SCHEMA.split(", "))
 
@@ -95,46 +99,57 @@ def tokenizer(name: str) -> Tokenizer:
 
 
 class SumOfSquares:
-    """Online packing into sequences of ``capacity``; a piece is ``(owner, start, length)``."""
+    """Online packing into sequences of ``capacity``; a piece is ``(owner, start, length)``.
 
-    def __init__(self, capacity: int = CAPACITY):
-        self.capacity = capacity
+    ``add`` and ``finish`` give the sequences that they fill.
+    """
+
+    def __init__(self, capacity: int = CAPACITY, level_limit: int = LEVEL_LIMIT):
+        self.capacity, self.level_limit = capacity, level_limit
         self.count = np.zeros(capacity + 1, dtype=np.float64)
         self.open: list[list[list]] = [[] for _ in range(capacity + 1)]
-        self.closed: list[list] = []
 
-    def add(self, owner, tokens: int) -> None:
+    def add(self, owner, tokens: int) -> Iterator[list]:
         start = 0
         while tokens - start >= self.capacity:
-            self.closed.append([(owner, start, self.capacity)])
+            yield [(owner, start, self.capacity)]
             start += self.capacity
-        size = tokens - start
-        if not size:
-            return
-        level = self.choose(size)
-        bin_ = self.open[level].pop() if level else []
-        if level:
-            self.count[level] -= 1
-        bin_.append((owner, start, size))
-        if level + size == self.capacity:
-            self.closed.append(bin_)
-        else:
-            self.open[level + size].append(bin_)
-            self.count[level + size] += 1
-
-    def choose(self, size: int) -> int:
-        """Fill level whose use makes the sum of squared counts smallest; the fullest of equals; 0 opens a sequence."""
+        while start < tokens:
+            level = self.choose(tokens - start)
+            size = tokens - start
+            if level is None:  # no room for it whole: it closes the fullest sequence, which is too full for it
+                level = int(np.flatnonzero(self.count)[-1])
+                size = self.capacity - level
+            bin_ = self.open[level].pop() if level else []
+            if level:
+                self.count[level] -= 1
+            bin_.append((owner, start, size))
+            start += size
+            if level + size == self.capacity:
+                yield bin_
+            else:
+                self.open[level + size].append(bin_)
+                self.count[level + size] += 1
+
+    def choose(self, size: int) -> int | None:
+        """Fill level whose use makes the sum of squared counts smallest; the fullest of equals; 0 opens a sequence.
+
+        None where each level that it would lead to is at its limit.
+        """
         top = self.capacity - size
         count = self.count
         after = count[size : self.capacity + 1].copy()  # counts at level + size, for levels 0..top
-        after[top] = -0.5  # a full sequence is not counted: the square only loses
+        full = after >= self.level_limit
+        after[top], full[top] = -0.5, False  # a full sequence is not counted: the square only loses
         change = after - count[: top + 1] + 1
         change[0] = (count[size] if top else -0.5) + 0.5
         change[1:][count[1 : top + 1] == 0] = np.inf
-        return top - int(np.argmin(change[::-1]))
+        change[full] = np.inf
+        best = top - int(np.argmin(change[::-1]))
+        return best if change[best] < np.inf else None
 
-    def finish(self) -> list[list]:
-        """All sequences: those still open are cut and joined, the rest fills powers of two."""
+    def finish(self) -> Iterator[list]:
+        """Those still open are cut and joined, the rest fills powers of two."""
         left = [piece for level in range(self.capacity, 0, -1) for bin_ in self.open[level] for piece in bin_]
         room, bin_ = self._target(sum(p[2] for p in left)), []
         total = sum(p[2] for p in left)
@@ -144,15 +159,14 @@ class SumOfSquares:
                 bin_.append((owner, start, cut))
                 start, size, room, total = start + cut, size - cut, room - cut, total - cut
                 if not room:
-                    self.closed.append(bin_)
+                    yield bin_
                     room, bin_ = self._target(total), []
-        return self.closed
 
     def _target(self, total: int) -> int:
         return self.capacity if total >= self.capacity else (1 << total.bit_length() - 1 if total else 0)
 
 
-def pack(docs: DataFrame, tokenizer_path: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = 0, text: str = "text", key: str = "doc_id", level_limit: int = LEVEL_LIMIT) -> DataFrame:
     """One row for each piece: ``SCHEMA``; ``sequence_id`` and ``offset`` say where it lies.
 
     A document is its ids and then ``end_id``.  Null and empty texts are the end id alone; repeated
@@ -160,39 +174,42 @@ def pack(docs: DataFrame, tokenizer_path: str = "byte_bpe_50k.json", capacity: i
     """
     if capacity & (capacity - 1):
         raise ValueError("the capacity is a power of two")
+    if level_limit < 1:
+        raise ValueError("a level holds at least one sequence")
 
     def run(batches):
         encode = tokenizer(tokenizer_path)
         end = int(end_id).to_bytes(4, "little")
         number = TaskContext.get().partitionId() << 40
-        packer, held = SumOfSquares(capacity), []
-        for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(t or "") + end
-                n = len(ids) // 4
-                whole = n - n % capacity
-                packer.add(len(held), n)
-                held.append((k, n, [zlib.crc32(ids[4 * at : 4 * (at + capacity)]) for at in range(0, whole, capacity)], ids[4 * whole :]))
-                if len(held) == FLUSH:
-                    yield from emit(packer, held, number)
-                    number += len(packer.closed)
-                    packer, held = SumOfSquares(capacity), []
-        yield from emit(packer, held, number)
-
-    def emit(packer, held, number):
+        packer = SumOfSquares(capacity, level_limit)
         out: dict[str, list] = {n: [] for n in COLUMNS}
-        for sequence, bin_ in enumerate(packer.finish(), number):
+
+        def place(bin_, sequence):
             offset = 0
-            for owner, start, length in bin_:
-                k, n, crcs, tail = held[owner]
-                at = start - capacity * len(crcs)
-                crc = crcs[start // capacity] if at < 0 else zlib.crc32(tail[4 * at : 4 * (at + length)])
+            for (k, n, whole, tail, ids), start, length in bin_:
+                if start < whole:  # a whole sequence of its own, filled while the ids are at hand
+                    crc = zlib.crc32(ids[0][4 * start : 4 * (start + length)])
+                else:
+                    crc = zlib.crc32(tail[4 * (start - whole) : 4 * (start - whole + length)])
                 for values, x in zip(out.values(), (k, start, length, crc, n, sequence, offset)):
                     values.append(x)
                 offset += length
-            if len(out["doc_id"]) >= 10_000:
-                yield _batch(out)
-                out = {n: [] for n in COLUMNS}
+
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = [encode(t or "") + end]
+                n = len(ids[0]) // 4
+                whole = n - n % capacity
+                for bin_ in packer.add((k, n, whole, ids[0][4 * whole :], ids), n):
+                    place(bin_, number)
+                    number += 1
+                    if len(out["doc_id"]) >= 10_000:
+                        yield _batch(out)
+                        out.update({n: [] for n in COLUMNS})
+                ids.clear()  # only the tails of open sequences stay
+        for bin_ in packer.finish():
+            place(bin_, number)
+            number += 1
         if out["doc_id"]:
             yield _batch(out)
 

@@ -394,25 +394,53 @@ def test_tokens_equal_the_tokenizer():
         assert k(s) == (k.whole(s) if s else b"")
 
 
-def test_sum_of_squares_choice():
+def _packed_plainly(sizes, capacity, limit):
+    """The method by brute force: every choice tried on the whole array of counts.  Sequences as lists of (owner, start, size)."""
+    open_, closed = [], []
+    for owner, tokens in enumerate(sizes):
+        start = 0
+        while start < tokens:
+            size = tokens - start
+            if size >= capacity:
+                closed.append([(owner, start, capacity)])
+                start += capacity
+                continue
+            fill = [sum(p[2] for p in b) for b in open_]
+            tried = []
+            for level in sorted({0, *fill}):
+                new = sorted([*fill, 0])
+                new.remove(level)
+                new = [x for x in [*new, level + size] if 0 < x < capacity]
+                counts = {x: new.count(x) for x in new}
+                if level + size <= capacity and counts.get(level + size, 0) <= limit:
+                    tried.append((sum(n * n for n in counts.values()), -level, level))
+            if tried:
+                level = min(tried)[2]
+            else:
+                level = max(fill)
+                size = capacity - level
+            at = max((i for i, x in enumerate(fill) if x == level), default=None) if level else None
+            bin_ = open_.pop(at) if level else []
+            bin_.append((owner, start, size))
+            (closed if level + size == capacity else open_).append(bin_)
+            start += size
+    return closed, open_
+
+
+@pytest.mark.parametrize(("limit", "sizes"), [(8, None), (2, None), (1, None), (3, [9] * 200), (1, [6, 11] * 100)])
+def test_sum_of_squares_against_brute_force(limit, sizes):
     r = random.Random(11)
-    p = packing.SumOfSquares(16)
-    for i in range(300):
-        size = r.randint(1, 15)
-        counts = {level: len(p.open[level]) for level in range(1, 16)}
-
-        def squares(level):
-            after = dict(counts)
-            if level:
-                after[level] -= 1
-            if level + size < 16:
-                after[level + size] += 1
-            return sum(x * x for x in after.values())
-
-        options = [0] + [level for level in range(1, 17 - size) if counts[level]]
-        assert squares(p.choose(size)) == min(map(squares, options)) and p.choose(size) in options
-        p.add(i, size)
-    assert sum(x[2] for b in p.finish() for x in b) == sum(p_[2] for b in p.closed for p_ in b)
+    sizes = sizes or [r.randint(1, 40) for _ in range(400)]
+    p, closed = packing.SumOfSquares(16, limit), []
+    for owner, tokens in enumerate(sizes):
+        closed += p.add(owner, tokens)
+        assert all(len(p.open[level]) == p.count[level] <= limit for level in range(1, 16))
+    plain, open_ = _packed_plainly(sizes, 16, limit)
+    key = lambda bins: sorted(sorted(b) for b in bins)
+    assert key([b for level in p.open for b in level]) == key(open_) and key(closed) == key(plain)
+    last = list(p.finish())
+    assert sum(x[2] for b in closed + last for x in b) == sum(sizes)
+    assert all((n := sum(x[2] for x in b)) == 16 or n & (n - 1) == 0 for b in closed + last)
 
 
 def test_license_against_brute_force(docs, texts):
