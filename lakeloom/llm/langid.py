@@ -2,23 +2,37 @@
 
 Character 4-grams of all training rows are counted in numpy and summed by Spark.  The summed counts
 give one table for each order, stored as arrays sorted by a 64-bit hash, with the probabilities of
-all languages side by side.  A text gets the language of lowest length-normalised cross-entropy; it
-is rejected where that entropy lies far over what the training counts say of the language.
+all languages side by side.  A text gets the language of lowest length-normalised cross-entropy.
+
+Rejection is calibrated on a fold of the training documents that a first model does not count: how far
+their entropies lie over the middle of their language, and how far they would lie if their own
+language had not been learned, give the limit of each language.
+
+Up to ``broadcast_rows`` rows of counts the tables are arrays that go to every task.  Beyond that the
+same numbers are tables of Spark, and the grams of the texts are joined to them; both ways give the
+same entropies.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import cut_lineage, remainder, slices
 
 ORDER = 4
-#: Nats of cross-entropy over the training mean that are still accepted, besides sampling noise.
-SLACK, NOISE = 2.0, 8.0
+#: One training document of so many calibrates the rejection.
+CALIBRATION = 8
+#: Share of a language's own documents that are kept, and of those of a language not learned that are rejected.
+KEPT, REJECTED = 0.999, 0.99
+#: Rows ``(language, 4-gram)`` that may come to the driver and be sent to the tasks, about 100 bytes each.
+BROADCAST_ROWS = 4_000_000
 #: Sharpness of ``score``: softmax of the negative entropies (nats a character) times this.
 SHARPNESS = 8.0
 UNKNOWN = "und"
@@ -78,26 +92,24 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """Rows ``(lang, gram, n)`` over all rows with a language.
+    """Rows ``(lang, calibrates, gram, n)`` over all rows with a language, apart for the calibrating fold.
 
     Slices of bounded size are counted and added up in their task, so long texts and hot languages
     send no more rows than there are grams.
     """
-    import pyarrow as pa
-
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("calibrates", pa.bool_()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def batch(name, counted):
         values, n = counted
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([name[0]] * len(values), pa.string()), pa.array([name[1]] * len(values), pa.bool_()), pa.array(values.view(np.int64)), pa.array(n)], schema=schema)
 
     def run(batches):
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            names, texts = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())), b.column(2).to_pylist()
             for lo, hi in slices([texts], len(texts), 1 << 20):
-                for name in set(langs[lo:hi]):
-                    gram, _, _ = encode([t for t, x in zip(texts[lo:hi], langs[lo:hi]) if x == name])
+                for name in set(names[lo:hi]):
+                    gram, _, _ = encode([t for t, x in zip(texts[lo:hi], names[lo:hi]) if x == name])
                     new = np.unique(gram, return_counts=True)
                     held[name] = _added([held[name], new]) if name in held else new
                     if len(held[name][0]) > HELD_GRAMS:
@@ -105,8 +117,14 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
         for name, counted in held.items():
             yield batch(name, counted)
 
-    part = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(run, "lang string, gram long, n long")
-    return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), _calibrates(text).alias("calibrates"), F.col(text).cast("string").alias("text"))
+    part = rows.mapInArrow(run, "lang string, calibrates boolean, gram long, n long")
+    return part.groupBy("lang", "calibrates", "gram").agg(F.sum("n").alias("n"))
+
+
+def _calibrates(text: str):
+    """Whether a text calibrates; copies of a text do together."""
+    return F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(CALIBRATION)) == 0
 
 
 def _mix(key: np.ndarray) -> np.ndarray:
@@ -187,8 +205,8 @@ class Model:
         grams, c = tables[0]
         logp = self.logp(grams, ORDER).astype(float)
         mass = np.maximum(c.sum(axis=0), 1)
-        self.mean = -(c * logp).sum(axis=0) / mass
-        self.spread = np.sqrt(np.maximum((c * logp**2).sum(axis=0) / mass - self.mean**2, 0))
+        mean = -(c * logp).sum(axis=0) / mass
+        self.limits = Limits.loose(mean, np.sqrt(np.maximum((c * logp**2).sum(axis=0) / mass - mean**2, 0)))
 
     def logp(self, keys: np.ndarray, order: int) -> np.ndarray:
         """Log probability in each language of the last character of each gram."""
@@ -223,86 +241,275 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, confidence, its cross-entropy and rejection of each text."""
-        h, n, letters = self.entropies(texts)
-        best = h.argmin(axis=1)
-        odds = np.exp(-SHARPNESS * (h - h.min(axis=1, keepdims=True)))
-        score = 1 / odds.sum(axis=1)
-        entropy = h.min(axis=1)
-        limit = self.mean[best] + SLACK + NOISE * self.spread[best] / np.sqrt(np.maximum(n, 1))
-        unknown = letters == 0
-        names = [UNKNOWN if u else self.langs[b] for u, b in zip(unknown, best)]
-        return names, np.where(unknown, 0.0, score), entropy, unknown | (entropy > limit)
-
-
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int | None = None) -> Model | None:
-    """Model of all rows with a language; None where there are none.
-
-    All counts are kept, so the table that comes to the driver grows with the distinct 4-grams of the corpus.
-    With ``max_grams`` it has so many rows at most, chosen by a histogram of the counts.
+        return decide(self.langs, self.limits, *self.entropies(texts))
+
+
+@dataclass
+class Limits:
+    """What a language's entropies are like: their middle, the spread of documents and of characters, and the largest score that is accepted."""
+
+    centre: np.ndarray
+    document: np.ndarray
+    character: np.ndarray
+    most: np.ndarray
+
+    @staticmethod
+    def loose(mean: np.ndarray, spread: np.ndarray) -> "Limits":
+        """Without documents to calibrate on: nothing with a letter is rejected."""
+        return Limits(mean, np.full(len(mean), 0.1), spread, np.full(len(mean), np.inf))
+
+    def score(self, lang, entropy, n):
+        """Standard deviations that an entropy over ``n`` characters lies over the middle."""
+        return (entropy - self.centre[lang]) / np.sqrt(self.document[lang] ** 2 + self.character[lang] ** 2 / np.maximum(n, 1))
+
+
+def decide(langs: list[str], limits: Limits, h: np.ndarray, n: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, confidence, its cross-entropy and rejection of texts of entropies ``h`` over ``n`` characters."""
+    best = h.argmin(axis=1)
+    entropy = h.min(axis=1)
+    odds = np.exp(-SHARPNESS * (h - entropy[:, None]))
+    unknown = letters == 0
+    names = [UNKNOWN if u else langs[b] for u, b in zip(unknown, best)]
+    return names, np.where(unknown, 0.0, 1 / odds.sum(axis=1)), entropy, unknown | (limits.score(best, entropy, n) > limits.most[best])
+
+
+#: Nats of one bin of the calibrating entropies.
+BIN = 0.01
+
+
+def _quantile(values: np.ndarray, weights: np.ndarray, share: float) -> float:
+    order = np.argsort(values, kind="stable")
+    sums = np.cumsum(weights[order])
+    return float(values[order][min(np.searchsorted(sums, share * sums[-1] - 1e-9), len(values) - 1)])
+
+
+def calibrate(langs: list[str], loose: Limits, rows: list) -> Limits:
+    """Limits from rows ``(lang, own, size, bin, n)``: how many calibrating texts of about 2^(size / 2) characters have which entropy.
+
+    ``own`` rows are of the texts of a language; the others are of texts whose nearest language it is
+    once their own is left out.  A language's limit keeps ``KEPT`` of its own, and is as wide as
+    ``REJECTED`` of the others allow.  A language without calibrating texts gets the widest limit of any.
     """
-    counted = cut_lineage(count_grams(docs, text, lang))
-    least = 0
-    if max_grams is not None:
-        sizes = counted.groupBy(F.floor(F.log2("n")).alias("size")).count().collect()  # at most 64 rows
-        rows = sum(r["count"] for r in sizes)
-        for r in sorted(sizes, key=lambda r: r["size"]):
-            if rows <= max_grams:
-                break
-            rows -= r["count"]
-            least = 1 << r["size"] + 1
-    langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
-    code = {x: i for i, x in enumerate(langs)}
-    coded = counted.where(F.col("n") >= least)
-    if not langs or coded.isEmpty():
-        return None
-    # short codes instead of names come to the driver
-    place = F.element_at(F.create_map(*[F.lit(v) for kv in code.items() for v in kv]), F.col("lang"))
-    grams = coded.select(place.cast("int").alias("lang"), "gram", "n").toArrow()
-    lang_, gram, n = (grams.column(i).to_numpy() for i in range(3))
-    left = np.unique(lang_)
-    return Model([langs[i] for i in left], np.searchsorted(left, lang_), gram.view(np.uint64), n)
+    out = Limits(loose.centre.copy(), loose.document.copy(), loose.character, loose.most.copy())
+    table = np.array([[r.lang, r.own, 2 ** ((r.size + 0.5) / 2), (r.bin + 0.5) * BIN, r.n] for r in rows]).reshape(-1, 5)
+    alone = []
+    for lang in range(len(langs)):
+        own, other = (table[(table[:, 0] == lang) & (table[:, 1] == x)] for x in (1, 0))
+        if not len(own):
+            alone.append(lang)
+            continue
+        long_ = own[own[:, 2] >= 256] if (own[:, 2] >= 256).any() else own
+        out.centre[lang] = _quantile(long_[:, 3], long_[:, 4], 0.5)
+        out.document[lang] = max(0.02, 1.4826 * _quantile(np.abs(long_[:, 3] - out.centre[lang]), long_[:, 4], 0.5))
+        inside = _quantile(out.score(lang, own[:, 3], own[:, 2]), own[:, 4], KEPT)
+        outside = _quantile(out.score(lang, other[:, 3], other[:, 2]), other[:, 4], 1 - REJECTED) if len(other) else 2 * inside
+        out.most[lang] = max(inside, outside, 3.0)
+    if len(alone) < len(langs):
+        known = [x for x in range(len(langs)) if x not in alone]
+        out.document[alone], out.most[alone] = out.document[known].max(), out.most[known].max()
+    return out
+
+
+def _calibration(scored: DataFrame, langs: list[str]) -> list:
+    """Rows for ``calibrate`` from ``(lang, h array, n)`` of texts; a few thousand for each language at most."""
 
+    def run(batches):
+        for b in batches:
+            lang = b.column(0).to_numpy(zero_copy_only=False)
+            h = np.array(b.column(1).to_pylist(), dtype=float).reshape(len(lang), len(langs))
+            size = np.floor(2 * np.log2(np.maximum(b.column(2).to_numpy(zero_copy_only=False), 1))).astype(np.int32)
+            at = np.arange(len(lang))
+            left = h.copy()
+            left[at, lang] = np.inf
+            near = left.argmin(axis=1)
+            parts = [(lang, 1, h[at, lang]), *([(near, 0, left[at, near])] if len(langs) > 1 else [])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.asarray(x, dtype=np.int32) for x, _, _ in parts])), pa.array(np.repeat([o for _, o, _ in parts], len(lang)).astype(np.int32)), pa.array(np.tile(size, len(parts))), pa.array(np.floor(np.concatenate([e for _, _, e in parts]) / BIN).astype(np.int32))],
+                names=["lang", "own", "size", "bin"],
+            )
+
+    return scored.mapInArrow(run, "lang int, own int, size int, bin int").groupBy("lang", "own", "size", "bin").agg(F.count("*").alias("n")).collect()
+
+
+class StoredModel:
+    """The same model as tables of Spark, for more grams than may be sent to the tasks.
+
+    ``probabilities[k]`` and ``weights[k]`` hold for each k-gram, or context of one, a map from
+    languages to logarithms.  Absent grams take the weight of their context and the shorter gram, as in ``Model``.
+    """
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    def __init__(self, langs: list[str], counted: DataFrame):
+        self.langs = langs
+        per_order = {ORDER: counted.groupBy("lang", "gram").agg(F.sum("n").alias("c"))}
+        for order in range(ORDER, 1, -1):
+            per_order[order - 1] = per_order[order].groupBy("lang", F.col("gram").bitwiseAND((1 << 16 * (order - 1)) - 1).alias("gram")).agg(F.count("*").alias("c"))
+        per_order = {order: cut_lineage(c) for order, c in per_order.items()}
+        alphabet = per_order[1].select("gram").distinct().count() + 1
+        self.floor = -np.log(alphabet)
+        self.probabilities: dict[int, DataFrame] = {}
+        self.weights: dict[int, DataFrame] = {}
+        lower = None
+        for order in range(1, ORDER + 1):
+            c = per_order[order].withColumn("context", F.shiftrightunsigned("gram", 16))
+            kinds = c.groupBy("lang").agg(F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos"))
+            share = F.when(F.col("ones") + F.col("twos") > 0, F.col("ones") / F.greatest(F.col("ones") + 2 * F.col("twos"), F.lit(1))).otherwise(0.5)
+            # one row for each language
+            discount = F.broadcast(kinds.select("lang", F.least(F.greatest(share, F.lit(0.1)), F.lit(0.95)).alias("discount")))
+            contexts = c.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).join(discount, "lang")
+            contexts = cut_lineage(contexts.select("lang", "context", "total", "discount", (F.col("discount") * F.col("kinds") / F.col("total")).alias("back")))
+            p = c.join(contexts, ["lang", "context"])
+            if order == 1:
+                root = {r.lang: r.back for r in contexts.select("lang", "back").collect()}
+                self.root = np.array([np.log(max(root.get(x, 1.0), 1e-12)) for x in range(len(langs))])
+                p = p.withColumn("lower", F.lit(1 / alphabet))
+            else:
+                p = p.withColumn("suffix", F.col("gram").bitwiseAND((1 << 16 * (order - 1)) - 1)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
+                self.weights[order] = cut_lineage(contexts.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.log("back")))).alias(f"w{order}")))
+            lower = cut_lineage(p.select("lang", "gram", (F.greatest(F.col("c") - F.col("discount"), F.lit(0)) / F.col("total") + F.col("back") * F.col("lower")).alias("p")))
+            self.probabilities[order] = cut_lineage(lower.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.log("p")))).alias(f"p{order}")))
+        self.limits = Limits.loose(*self._moments(per_order[ORDER]))
+
+    def logps(self, grams: DataFrame) -> DataFrame:
+        """Rows ``(gram, logp)`` of distinct ``grams(gram)``: log probability in each language."""
+        out = grams
+        for order in range(ORDER, 0, -1):
+            out = out.withColumn("k", F.col("gram").bitwiseAND((1 << 16 * order) - 1) if order < 4 else F.col("gram"))
+            out = out.join(self.probabilities[order].withColumnRenamed("gram", "k"), "k", "left")
+            if order > 1:
+                out = out.withColumn("context", F.shiftrightunsigned("k", 16)).join(self.weights[order], "context", "left").drop("context")
+        root = F.array(*[F.lit(float(x + self.floor)) for x in self.root])
+
+        def value(lang):
+            got = F.coalesce(F.try_element_at("p1", lang), F.element_at(root, lang + 1))
+            for order in range(2, ORDER + 1):
+                got = F.coalesce(F.try_element_at(f"p{order}", lang), F.coalesce(F.try_element_at(f"w{order}", lang), F.lit(0.0)) + got)
+            return got
+
+        return out.select("gram", F.transform(F.sequence(F.lit(0), F.lit(len(self.langs) - 1)), value).alias("logp"))
+
+    def _moments(self, counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        rows = counts.join(self.logps(counts.select("gram").distinct()), "gram").withColumn("x", F.element_at("logp", F.col("lang") + 1))
+        found = {r.lang: r for r in rows.groupBy("lang").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("x")).alias("s"), F.sum(F.col("c") * F.col("x") ** 2).alias("q")).collect()}
+        mean = np.array([-found[x].s / found[x].n if x in found else 0.0 for x in range(len(self.langs))])
+        square = np.array([found[x].q / found[x].n if x in found else 0.0 for x in range(len(self.langs))])
+        return mean, np.sqrt(np.maximum(square - mean**2, 0))
+
+    def entropies(self, texts: DataFrame) -> DataFrame:
+        """Rows ``(name, h)`` of the distinct texts of ``texts(text)``; ``name`` is the MD5 digest, null for texts without grams."""
+
+        def run(batches):
+            for b in batches:
+                values = b.column(0).to_pylist()
+                for lo, hi in slices([values], len(values), 1 << 20):
+                    gram, doc, _ = encode(values[lo:hi])
+                    order = np.lexsort((gram, doc))
+                    gram, doc = gram[order], doc[order]
+                    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(gram)), bool), (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])]))
+                    n = np.diff(np.append(first, len(gram)))
+                    names = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in values[lo:hi]]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in doc[first]], pa.binary()), pa.array(gram[first].view(np.int64)), pa.array(n)], names=["name", "gram", "n"])
+
+        found = cut_lineage(texts.select(F.col("text").cast("string")).distinct().mapInArrow(run, "name binary, gram long, n long"))
+        # a frequent gram is one key of many rows; the other side has one row of it, so a skewed join splits it
+        each = found.join(self.logps(found.select("gram").distinct()), "gram")
+        sums = [F.sum(F.col("n") * F.get("logp", F.lit(i))) for i in range(len(self.langs))]
+        return each.groupBy("name").agg(F.sum("n").alias("size"), F.array(*sums).alias("sums")).select("name", "size", F.transform("sums", lambda x: -x / F.col("size")).alias("h"))
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", broadcast_rows: int = BROADCAST_ROWS) -> Model | StoredModel | None:
+    """Model of all rows with a language, its rejection calibrated; None where there are none.
+
+    Counts of more than ``broadcast_rows`` rows stay in Spark, and the model is a ``StoredModel``.  Null
+    texts count as empty; every row counts, repeated ones each time.
+    """
+    named = cut_lineage(count_grams(docs, text, lang))
+    langs = sorted(r.lang for r in named.select("lang").distinct().collect())
+    if not langs:
+        return None
+    # short codes instead of names
+    place = F.element_at(F.create_map(*[F.lit(v) for i, x in enumerate(langs) for v in (x, i)]), F.col("lang")).cast("int")
+    counted = named.select(place.alias("lang"), "calibrates", "gram", "n")
+    rest = docs.where(F.col(lang).isNotNull() & _calibrates(text)).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).select(place.alias("lang"), "text")
+    if named.count() > broadcast_rows:
+        first = StoredModel(langs, part if not (part := counted.where("NOT calibrates")).isEmpty() else counted)
+        name = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+        scored = rest.withColumn("name", name).join(first.entropies(rest), "name").select("lang", "h", F.col("size").alias("n"))
+        model = StoredModel(langs, counted)
+    else:
+        grams = counted.toArrow()
+        code, held, gram, n = (grams.column(i).to_numpy() for i in range(4))
+        gram = gram.view(np.uint64)
+        kept = ~held if not held.all() else held  # with calibrating documents alone they are both
+        first = Model(langs, code[kept], gram[kept], n[kept])
+        sent = docs.sparkSession.sparkContext.broadcast(first)
+
+        def run(batches):
+            for b in batches:
+                lang_, texts = b.column(0), b.column(1).to_pylist()
+                for lo, hi in slices([texts], len(texts), 1 << 20):
+                    h, size, _ = sent.value.entropies(texts[lo:hi])
+                    use = np.flatnonzero(size > 0)
+                    yield pa.RecordBatch.from_arrays([lang_.slice(lo, hi - lo).take(pa.array(use)), pa.array(list(h[use]), pa.list_(pa.float64())), pa.array(size[use])], names=["lang", "h", "n"])
+
+        scored = rest.mapInArrow(run, "lang int, h array<double>, n long")
+        model = Model(langs, code, gram, n)
+    model.limits = calibrate(langs, model.limits, _calibration(scored, langs))
+    return model
+
+
+def identify(docs: DataFrame, model: Model | StoredModel | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``lang_score``, ``cross_entropy`` and ``rejected`` (replacing columns of these names).
 
     Null and letterless texts are ``und``, score 0, rejected.  Without a model every text is ``und``.
+    Ties go to the first language by name; repeated rows stay; an empty table stays empty.
     """
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-    import pyarrow as pa
-
     new = ["lang_pred", "lang_score", "cross_entropy", "rejected"]
     kept = docs.drop(*new)
     fields = [*kept.schema.fields, StructField(new[0], StringType()), StructField(new[1], DoubleType()), StructField(new[2], DoubleType()), StructField(new[3], BooleanType())]
-    sent = kept.sparkSession.sparkContext.broadcast(model)
-    place = kept.columns.index(text)
+    place, width, stored = kept.columns.index(text), len(kept.columns), isinstance(model, StoredModel)
+    rows = kept
+    if stored:
+        langs, limits = model.langs, model.limits
+        name, h = (next(x for x in (c + "_" * i for i in range(99)) if x not in kept.columns) for c in ("__name", "__h"))
+        found = model.entropies(kept.select(F.col(f"`{text}`").alias("text"))).select(F.col("name").alias(name), F.col("h").alias(h))
+        rows = kept.withColumn(name, F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))).join(found, name, "left").drop(name)
+        rows = rows.select(*[F.col(f"`{c}`") for c in kept.columns], h)
+    else:
+        sent = kept.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(place).to_pylist()
             parts = [[], [], [], []]
             for lo, hi in slices([texts], len(texts), 1 << 20):
-                if sent.value is None:
+                if stored:
+                    gram, doc, letters = encode(texts[lo:hi])
+                    entropies = [x if x is not None else [0.0] * len(langs) for x in batch.column(width).slice(lo, hi - lo).to_pylist()]
+                    got = decide(langs, limits, np.array(entropies, dtype=float), np.bincount(doc, minlength=hi - lo), letters)
+                elif sent.value is None:
                     got = [UNKNOWN] * (hi - lo), np.zeros(hi - lo), np.zeros(hi - lo), np.ones(hi - lo, dtype=bool)
                 else:
                     got = sent.value.predict(texts[lo:hi])
                 for p, g in zip(parts, got):
                     p.extend(g)
             types = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
-            arrays = [*batch.columns, *[pa.array(p, t) for p, t in zip(parts, types)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *new])
+            arrays = [*batch.columns[:width], *[pa.array(p, t) for p, t in zip(parts, types)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:width], *new])
 
-    return kept.mapInArrow(run, StructType(fields))
+    return rows.mapInArrow(run, StructType(fields))
 
 
-def language_id(docs: DataFrame, folds: int = 3, held: int = 1, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+def language_id(docs: DataFrame, folds: int = 3, held: int = 1, text: str = "text", lang: str = "lang", key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows ``(doc_id, held_out, lang_pred, score, cross_entropy, rejected)`` for every document.
 
-    Rows whose crc32 of the id is ``held`` modulo ``folds`` are held out of training.
+    Rows whose crc32 of the id is ``held`` modulo ``folds`` are held out of training.  A null or
+    letterless text is ``und``; a null id counts as the empty text in the fold; a null language is not
+    learned from; repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     source = source.withColumn("held_out", remainder("doc_id", folds) == held)
-    model = train(source.where(~F.col("held_out")))
+    model = train(source.where(~F.col("held_out")), broadcast_rows=broadcast_rows)
     found = identify(source.select("doc_id", "held_out", "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "cross_entropy", "rejected")

@@ -235,11 +235,31 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got) and sum(r.rejected for r in got) <= 0.01 * len(got)
 
 
-def test_language_model_bound(spark):
-    base = table(spark, SF, "documents")
-    whole, small = langid.train(base), langid.train(base, max_grams=2000)
-    assert len(small.tables[-1].values) <= 2000 < len(whole.tables[-1].values)
-    assert langid.identify(base, small).where("lang_pred = lang").count() >= 190
+def test_language_tables_in_spark(spark, odd):
+    """Beyond the bound of what is sent, the model is tables of Spark: the same entropies, languages and limits."""
+    base = table(spark, SF, "documents").select("doc_id", "text", "lang").union(odd.select("doc_id", "text", "lang"))
+    whole, stored = langid.train(base), langid.train(base, broadcast_rows=10)
+    assert isinstance(whole, langid.Model) and isinstance(stored, langid.StoredModel)
+    for a, b in zip((whole.limits.centre, whole.limits.document, whole.limits.character, whole.limits.most), (stored.limits.centre, stored.limits.document, stored.limits.character, stored.limits.most)):
+        assert np.allclose(a, b, rtol=0.02, atol=0.02)
+    stored.limits = whole.limits
+    rows = base.withColumn("__name", base.text).withColumn("h", base.lang)
+    one, two = ({(r.doc_id, r.text): r for r in langid.identify(rows, m).collect()} for m in (whole, stored))
+    assert one.keys() == two.keys() and langid.identify(rows, stored).columns == langid.identify(rows, whole).columns
+    for k, r in one.items():
+        assert (r.lang_pred, r.rejected) == (two[k].lang_pred, two[k].rejected)
+        assert abs(r.lang_score - two[k].lang_score) < 1e-4 and abs(r.cross_entropy - two[k].cross_entropy) < 1e-4
+
+
+@pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
+def test_language_left_out_is_rejected(spark, left_out):
+    base = table(spark, "/root/testdata/sf0.01", "documents")
+    held = base.where("crc32(cast(doc_id AS string)) % 3 = 1").cache()
+    model = langid.train(base.where(f"crc32(cast(doc_id AS string)) % 3 <> 1 AND lang <> '{left_out}'"))
+    rows = langid.identify(held, model).collect()
+    out = [r.rejected for r in rows if r.lang == left_out]
+    own = [r.rejected for r in rows if r.lang != left_out]
+    assert sum(out) >= 0.85 * len(out) and sum(own) <= 0.01 * len(own), (sum(out), len(out), sum(own), len(own))
 
 
 def test_language_keeps_all_counts(spark):
