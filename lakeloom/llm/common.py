@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset a local master (tests) gets a temporary folder; a cluster has none that all share, so that is an error.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named is None and sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakeloom-checkpoint-"))
     if named is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -31,11 +38,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_rows(df: DataFrame, rows: Callable[..., Iterator[dict]], schema: str, slice_bytes: int = 4 << 20) -> DataFrame:
+def arrow_rows(df: DataFrame, rows: Callable[..., Iterator[dict]], schema: str, slice_bytes: int = 4 << 20, sized: str | None = None) -> DataFrame:
     """``mapInArrow`` where ``rows(columns) -> dict of lists`` sees slices of bounded bytes.
 
-    ``columns`` holds one Python list per input column.  A slice ends once its strings reach
-    ``slice_bytes`` characters, so one long text never drags others into memory with it.
+    ``columns`` holds one Python list per input column.  A slice ends once its bytes reach
+    ``slice_bytes``, so one long text never drags others into memory with it; only the slice's values
+    become Python objects.  ``sized`` names the column that counts, the first of strings or bytes by itself.
     """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,24 +52,37 @@ def arrow_rows(df: DataFrame, rows: Callable[..., Iterator[dict]], schema: str,
 
     def run(batches):
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for lo, hi in slices(columns, batch.num_rows, slice_bytes):
-                for out in rows(*[c[lo:hi] for c in columns]):
+            for lo, hi in _slices(batch, slice_bytes, sized):
+                part = batch.slice(lo, hi - lo)
+                for out in rows(*[c.to_pylist() for c in part.columns]):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def _slices(batch: pa.RecordBatch, slice_bytes: int, sized: str | None) -> Iterator[tuple[int, int]]:
+    texts = [f.name for f in batch.schema if pa.types.is_string(f.type) or pa.types.is_binary(f.type) or pa.types.is_large_string(f.type) or pa.types.is_large_binary(f.type)]
+    name = sized or (texts[0] if texts else None)
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist() if name else [8] * batch.num_rows
+    return cuts(sizes, slice_bytes)
+
+
 def slices(columns: list[list], n: int, slice_bytes: int) -> Iterator[tuple[int, int]]:
+    """``cuts`` by the characters of the first column of strings or bytes."""
     sized = next((c for c in columns if any(isinstance(x, (str, bytes)) for x in c)), None)
+    return cuts([len(x or "") for x in sized] if sized is not None else [8] * n, slice_bytes)
+
+
+def cuts(sizes: list[int], slice_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive items; one ends with the item that brings its sizes to ``slice_bytes``."""
     lo = size = 0
-    for i in range(n):
-        size += len(sized[i] or "") if sized is not None else 8
+    for i, x in enumerate(sizes):
+        size += x
         if size >= slice_bytes:
             yield lo, i + 1
             lo, size = i + 1, 0
-    if lo < n:
-        yield lo, n
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 def remainder(key, n: int):

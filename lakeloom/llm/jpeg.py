@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +24,8 @@ from lakeloom.llm.common import arrow_rows
 WIDTH = 64
 #: Blocks of one image: 64 columns, and as many rows as 16-bit heights allow.
 IMAGE_BYTES = WIDTH * 8191
+#: Bytes of payload or scan that are worked on together.
+WORK_BYTES = 1 << 20
 
 # Order of the 64 coefficients in a DQT segment is irrelevant here: only the DC quantiser is used.
 _DC_CODES = bytes([1] * 9 + [0] * 7), bytes([8, 7, 6, 5, 4, 3, 2, 1, 0])
@@ -64,8 +67,33 @@ def pad(data: bytes) -> bytes:
     return data + b"\0" * (-len(data) % 64 or (64 if not data else 0))
 
 
+def groups_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive items whose sizes add up to ``most`` at most, or one item."""
+    lo = total = 0
+    for i, size in enumerate(sizes):
+        if i > lo and total + size > most:
+            yield lo, i
+            lo, total = i, 0
+        total += size
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """One media value for each payload (a positive multiple of 64 bytes): concatenated JPEG images."""
+    """One media value for each payload (a positive multiple of 64 bytes): concatenated JPEG images.
+
+    Images are made a few at a time, so a long payload takes no more working memory than short ones.
+    """
+    parts = [(i, p[at : at + IMAGE_BYTES]) for i, p in enumerate(payloads) for at in range(0, len(p), IMAGE_BYTES)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for lo, hi in groups_of([len(p) for _, p in parts], WORK_BYTES):
+        for (i, _), made in zip(parts[lo:hi], _encode([p for _, p in parts[lo:hi]])):
+            out[i].append(made)
+    return [b"".join(x) for x in out]
+
+
+def _encode(payloads: list[bytes]) -> list[bytes]:
+    """One image for each payload of ``IMAGE_BYTES`` at most."""
     rows = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, WIDTH).astype(np.int16)
     if not len(rows):
         return []
@@ -74,31 +102,23 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     scan = np.empty((len(rows), 82), dtype=np.uint8)
     scan[:, :80] = np.stack([c0 >> 2, (c0 & 3) << 6 | c1 >> 4, (c1 & 15) << 4 | c2 >> 6, (c2 & 63) << 2 | c3 >> 8, c3 & 255], axis=2).reshape(len(rows), 80)
     scan[:, 80] = 0xFF
-    images: list[tuple[int, int, bool]] = []  # first row, rows, last image of its payload
+    images: list[tuple[int, int]] = []  # first row, rows
     at = 0
     for p in payloads:
-        left = len(p) // WIDTH
-        while left:
-            n = min(left, IMAGE_BYTES // WIDTH)
-            scan[at : at + n, 81] = 0xD0 + np.arange(n) % 8
-            scan[at + n - 1, 81] = 0xD9
-            left -= n
-            images.append((at, n, not left))
-            at += n
+        n = len(p) // WIDTH
+        scan[at : at + n, 81] = 0xD0 + np.arange(n) % 8
+        scan[at + n - 1, 81] = 0xD9
+        images.append((at, n))
+        at += n
     full = scan[:, :80] == 0xFF
     ends = np.cumsum(82 + full.sum(axis=1))
-    times = np.ones(scan.shape, dtype=np.int64)
+    times = np.ones(scan.shape, dtype=np.int8)
     times[:, :80] += full
     flat = np.repeat(scan.ravel(), times.ravel())
-    stuffed = np.cumsum(times.ravel())[np.flatnonzero(times.ravel() == 2)] - 1
+    stuffed = np.cumsum(times.ravel(), dtype=np.int64)[np.flatnonzero(times.ravel() == 2)] - 1
     flat[stuffed] = 0
-    data, out, parts = flat.tobytes(), [], []
-    for first, n, last in images:
-        parts.append(_head(n) + data[(ends[first - 1] if first else 0) : ends[first + n - 1]])
-        if last:
-            out.append(b"".join(parts))
-            parts = []
-    return out
+    data = flat.tobytes()
+    return [_head(n) + data[(ends[first - 1] if first else 0) : ends[first + n - 1]] for first, n in images]
 
 
 class Huffman:
@@ -160,7 +180,21 @@ class Image:
 
 
 def parse(data: bytes) -> list[Image]:
-    """Images of concatenated baseline JPEG streams.  Raises ValueError for anything else."""
+    """Images of concatenated baseline JPEG streams, one at least.  Raises ValueError for anything else."""
+    try:
+        images = _parse(data)
+    except (IndexError, KeyError, struct.error) as e:
+        raise ValueError(f"cut or broken segment: {e}") from e
+    if not images:
+        raise ValueError("no image")
+    for image in images:
+        blocks = -(-image.height // (8 * max(x[1] for x in image.parts))) * -(-image.width // (8 * max(x[0] for x in image.parts)))
+        if not blocks or 2 * blocks > 8 * (image.scan[1] - image.scan[0]):  # a block takes two bits at least
+            raise ValueError("the scan is too short for its dimensions")
+    return images
+
+
+def _parse(data: bytes) -> list[Image]:
     images, at = [], 0
     quant: dict[int, int] = {}
     codes: dict[int, bytes] = {}
@@ -239,14 +273,18 @@ def _lanes(scans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def luminance(media: list[bytes]) -> list[list[np.ndarray]]:
-    """For each media value the DC-only luminance thumbnails (rows x columns of block means) of its images."""
+    """For each media value the DC-only luminance thumbnails (rows x columns of block means) of its images.
+
+    Raises ValueError if a value is no baseline JPEG.
+    """
     parsed = [parse(m) for m in media]
     out: list[list[np.ndarray]] = [[None] * len(p) for p in parsed]
     groups: dict[tuple, list[tuple[int, int]]] = {}
     for i, p in enumerate(parsed):
         for j, image in enumerate(p):
             groups.setdefault((image.parts, image.interval), []).append((i, j))
-    for (parts, interval), members in groups.items():
+    work = [(key, members[lo:hi]) for key, members in groups.items() for lo, hi in groups_of([parsed[i][j].scan[1] - parsed[i][j].scan[0] for i, j in members], WORK_BYTES)]
+    for (parts, interval), members in work:
         images = [parsed[i][j] for i, j in members]
         hmax, vmax = max(x[0] for x in parts), max(x[1] for x in parts)
         if len(parts) == 1:
@@ -365,32 +403,56 @@ def store_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return arrow_rows(source, rows, "doc_id long, n_bytes long, media binary", slice_bytes=2 << 20)
 
 
+def readable(values: list[bytes]) -> tuple[list[list[np.ndarray] | None], list[str | None]]:
+    """Thumbnails of each media value, or None and what is wrong with it."""
+    try:
+        return luminance(values), [None] * len(values)
+    except (ValueError, IndexError):
+        pass
+    grids: list = []
+    errors: list[str | None] = []
+    for v in values:  # one of them is broken
+        try:
+            (grid,) = luminance([v])
+            error = None
+        except (ValueError, IndexError) as e:
+            grid, error = None, str(e) or "broken scan"
+        grids.append(grid)
+        errors.append(error)
+    return grids, errors
+
+
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, images int, error string"
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """Read stored media back: dimensions, thumbnail hash, payload and digests.
 
-    A null media value gives nulls; bytes that are no baseline JPEG raise ValueError.
+    A null media value gives nulls.  Bytes that are no baseline JPEG, empty ones too, give their own
+    size and digest, nulls for what would be read, and ``error``, which is null for all others.
+    Repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
 
     def rows(keys, sizes, values):
         there = [i for i, v in enumerate(values) if v is not None]
-        grids = dict(zip(there, luminance([values[i] for i in there])))
-        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "images")}
+        grids, errors = (dict(zip(there, x)) for x in readable([values[i] for i in there]))
+        out: dict[str, list] = {x.split()[0]: [] for x in FEATURES.split(", ")[2:]}
         for i, v in enumerate(values):
-            if v is None:
-                for x in out.values():
-                    x.append(None)
-                continue
-            payload = b"".join(g.tobytes() for g in grids[i])
-            high = sum(g.shape[0] for g in grids[i]) * 8
-            wide = grids[i][0].shape[1] * 8
-            mark = "-".join(f"{thumbnail_hash(g):016x}" for g in grids[i])
-            for k, x in (("payload_bytes", len(payload)), ("payload_sha256", hashlib.sha256(payload).hexdigest()), ("tail_crc32", zlib.crc32(payload[-64:])), ("media_bytes", len(v)), ("media_sha256", hashlib.sha256(v).hexdigest()), ("feature", f"jpeg {wide}x{high} {mark}"), ("width", wide), ("height", high), ("images", len(grids[i]))):
-                out[k].append(x)
+            found: dict = dict.fromkeys(out)
+            if v is not None:
+                found |= {"media_bytes": len(v), "media_sha256": hashlib.sha256(v).hexdigest(), "error": errors[i]}
+            if grids.get(i) is not None:
+                sha, tail = hashlib.sha256(), b""
+                for g in grids[i]:
+                    part = g.tobytes()
+                    sha.update(part)
+                    tail = (tail + part[-64:])[-64:]
+                high = sum(g.shape[0] for g in grids[i]) * 8
+                wide = grids[i][0].shape[1] * 8
+                mark = "-".join(f"{thumbnail_hash(g):016x}" for g in grids[i])
+                found |= {"payload_bytes": sum(g.size for g in grids[i]), "payload_sha256": sha.hexdigest(), "tail_crc32": zlib.crc32(tail), "feature": f"jpeg {wide}x{high} {mark}", "width": wide, "height": high, "images": len(grids[i])}
+            for k, x in out.items():
+                x.append(found[k])
         yield {"doc_id": keys, "n_bytes": sizes} | out
 
-    return arrow_rows(
-        media.select("doc_id", "n_bytes", "media"),
-        rows,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, images int",
-        slice_bytes=3 << 20,
-    )
+    return arrow_rows(media.select("doc_id", "n_bytes", "media"), rows, FEATURES, slice_bytes=3 << 20)

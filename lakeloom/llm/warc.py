@@ -15,6 +15,8 @@ from lakeloom.llm.common import arrow_rows
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
+#: Headers of a response that its derivatives repeat.
+NEEDED = ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest", "WARC-Block-Digest")
 _space = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # name space of URLs (RFC 4122)
 
 _cut = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.I | re.S).sub
@@ -57,7 +59,11 @@ def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         first, *lines = data[at:end].decode().split("\r\n")
-        headers = {"": first} | {k: v for k, v in (x.split(": ", 1) for x in lines)}
+        if not all(": " in x for x in lines):
+            raise ValueError("broken header")
+        headers = {"": first} | dict(x.split(": ", 1) for x in lines)
+        if not headers.get("Content-Length", "").isdecimal():
+            raise ValueError("no content length")
         size = int(headers["Content-Length"])
         block = data[end + 4 : end + 4 + size]
         if not first.startswith("WARC/") or len(block) != size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
@@ -67,19 +73,27 @@ def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     return out
 
 
-def response(page_id, url: str, page: str) -> bytes:
-    """A response record of a stored page: HTTP head and entity, as a crawler would have written it."""
+def response(page_id, url: str, page: str, date: str = DATE) -> bytes:
+    """A response record of a stored page: HTTP head and entity, as a crawler would have written it.
+
+    Its identifier follows from id, URL, date and content: other content, another identifier.
+    """
     entity = page.encode("utf-8", "surrogatepass")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(entity)).encode() + b"\r\n\r\n" + entity
-    headers = [("WARC-Record-ID", identifier("response", f"{page_id} {url}")), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", digest(entity)), ("Content-Type", "application/http; msgtype=response")]
+    headers = [("WARC-Record-ID", identifier("response", f"{page_id} {date} {digest(entity)} {url}")), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", digest(entity)), ("Content-Type", "application/http; msgtype=response")]
     return record("response", headers, http)
 
 
 def derive(source: bytes) -> tuple[bytes, bytes]:
     """Metadata and conversion records of a response record, each referring to it."""
-    ((headers, block),) = parse(source)
+    records = parse(source)
+    if len(records) != 1:
+        raise ValueError(f"{len(records)} records")
+    ((headers, block),) = records
     if headers.get("WARC-Type") != "response":
         raise ValueError("not a response")
+    if missing := [x for x in NEEDED if x not in headers]:
+        raise ValueError(f"no {missing[0]}")
     head, _, entity = block.partition(b"\r\n\r\n")
     page = entity.decode("utf-8", "replace")
     origin, uri = headers["WARC-Record-ID"], headers["WARC-Target-URI"]
@@ -97,34 +111,50 @@ def derive(source: bytes) -> tuple[bytes, bytes]:
     return meta, conversion
 
 
-def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """Rows ``(page_id, record)``: a response record of each page; null URLs and pages count as empty."""
+def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", date: str | None = None) -> DataFrame:
+    """Rows ``(page_id, record)``: a response record of each page; null URLs and pages count as empty.
 
-    def rows(keys, urls, bodies):
-        yield {"page_id": keys, "record": [response(k, u or "", b or "") for k, u, b in zip(keys, urls, bodies)]}
+    ``date`` names a column of WARC dates; without it, and where it is null, the date is ``DATE``.
+    Pages that differ in any of these have other record ids; repeated rows are one page fetched twice and
+    share theirs; an empty table gives no rows; other columns are ignored.
+    """
 
-    return arrow_rows(pages.select(F.col(key).cast("long").alias("page_id"), F.col(page).cast("string").alias("html"), F.col(url).cast("string").alias("url")).select("page_id", "url", "html"), rows, "page_id long, record binary")
+    def rows(keys, urls, dates, bodies):
+        yield {"page_id": keys, "record": [response(k, u or "", b or "", d or DATE) for k, u, d, b in zip(keys, urls, dates, bodies)]}
 
+    when = F.col(date).cast("string") if date else F.lit(None).cast("string")
+    source = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), when.alias("date"), F.col(page).cast("string").alias("html"))
+    return arrow_rows(source, rows, "page_id long, record binary", sized="html")
 
-RECORDS = "page_id long, kind string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, source_payload_digest string, block_digest string, block_bytes long, record binary"
+
+RECORDS = "page_id long, kind string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, source_payload_digest string, block_digest string, block_bytes long, record binary, error string"
 
 
 def derivatives(records: DataFrame) -> DataFrame:
     """Two rows for each response record, ``metadata`` and ``conversion``: fields of their headers and the record itself.
 
-    A null record gives no rows; another kind of record raises ValueError; repeated rows stay.
+    A null record gives no rows.  A broken record, an empty one and one of another kind give one row of
+    kind ``error`` with what is wrong in ``error``, which is null for all others.  Repeated rows stay; an
+    empty table gives no rows; other columns are ignored.
     """
 
     def rows(keys, values):
-        out: dict[str, list] = {x.split()[0]: [] for x in RECORDS.split(", ")}
+        names = [x.split()[0] for x in RECORDS.split(", ")]
+        out: dict[str, list] = {n: [] for n in names}
         for key, value in zip(keys, values):
             if value is None:
                 continue
-            origin = parse(value)[0][0]
-            for made in derive(value):
-                ((h, block),) = parse(made)
-                for name, x in zip(out, (key, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Target-URI"], h["WARC-Date"], h["Content-Type"], origin["WARC-Payload-Digest"], h["WARC-Block-Digest"], len(block), made)):
-                    out[name].append(x)
+            try:
+                made = derive(value)
+                origin = parse(value)[0][0]
+            except ValueError as e:
+                for n in names:
+                    out[n].append({"page_id": key, "kind": "error", "error": str(e)}.get(n))
+                continue
+            for derived in made:
+                ((h, block),) = parse(derived)
+                for n, x in zip(names, (key, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Target-URI"], h["WARC-Date"], h["Content-Type"], origin["WARC-Payload-Digest"], h["WARC-Block-Digest"], len(block), derived, None)):
+                    out[n].append(x)
         yield out
 
     return arrow_rows(records.select("page_id", "record"), rows, RECORDS)

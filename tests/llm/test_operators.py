@@ -67,6 +67,37 @@ def test_jpeg_round_trip(docs, texts):
         assert b"".join(g.tobytes() for g in jpeg.luminance(jpeg.encode([data]))[0]) == data
 
 
+def test_jpeg_broken_values(spark):
+    good = jpeg.encode([bytes(range(64)) * 3])[0]
+    r = random.Random(4)
+    broken = [b"", b"\xff", b"no jpeg", good[:40], good[:-30], good.replace(b"\xff\xc0", b"\xff\xc2"), good.replace(b"\xff\xda", b"\xff\xd9"), b"\xff\xd8\xff\xd9"]
+    big = bytearray(good)
+    at = big.index(b"\xff\xc0") + 5
+    big[at : at + 4] = b"\xff\xff\xff\xff"
+    noise = [bytes(good[:i] + bytes([r.randrange(256)]) + good[i + 1 :]) for i in (r.randrange(len(good)) for _ in range(40))]
+    values = [*broken, bytes(big), None, good, *noise]
+    rows = {r.doc_id: r for r in jpeg.media_features(spark.createDataFrame([(i, 1, bytearray(v) if v is not None else None) for i, v in enumerate(values)], "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(rows) == len(values)
+    for i, v in enumerate(values[: len(broken) + 1]):
+        assert rows[i].error and rows[i].feature is None and rows[i].media_bytes == len(v) and rows[i].media_sha256 == hashlib.sha256(v).hexdigest()
+    none, fine = rows[len(broken) + 1], rows[len(broken) + 2]
+    assert none.error is None and none.media_bytes is None
+    assert fine.error is None and fine.payload_sha256 == hashlib.sha256(bytes(range(64)) * 3).hexdigest()
+
+
+def test_jpeg_of_a_long_text_in_bounded_memory():
+    import tracemalloc
+
+    data = np.random.default_rng(1).integers(0, 256, 24 << 20, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    (media,) = jpeg.encode([data])
+    (grids,) = jpeg.luminance([media])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hashlib.sha256(b"".join(g.tobytes() for g in grids)).digest() == hashlib.sha256(data).digest()
+    assert peak < 6 * len(data)
+
+
 def test_jpeg_with_ac_and_chroma():
     """A scan written bit by bit: 4:2:0, AC coefficients, no restart intervals, several tables."""
     r = random.Random(3)
@@ -497,6 +528,35 @@ def test_license_templates_and_gaps():
     assert "bsd" in scan(long.replace("are permitted", "are hereby permitted")) and "bsd" not in scan(long[:40])
 
 
+def test_license_spans():
+    s = license.Scanner()
+    spans = lambda t: s.scan(license.words(t.encode()))["spans"]
+    mit = max((t for label, t in license.TEMPLATES if label == "mit"), key=len)
+    words = mit.split()
+    for put in ("of this", "in the", "of charge", "hereby"):
+        for at in range(3, len(words), 17):
+            assert {x[0] for x in spans(" ".join([*words[:at], put, *words[at:]]))} >= {"mit"}, (put, at)
+    size = len(license.words(mit.encode()))
+    whole = [x for x in spans(f"first {mit} between them some words that no licence has {mit} last") if x[0] == "mit" and x[2] - x[1] == size]
+    assert [(x[1], x[3]) for x in whole] == [(1, 1.0), (1 + size + 8, 1.0)]
+    assert not spans(" ".join(sorted(words)))
+
+
+def test_license_chains_against_brute_force():
+    r = random.Random(9)
+    for _ in range(300):
+        size, gap = r.randint(3, 9), r.choice([0.25, 0.5])
+        pairs = sorted({(r.randrange(14), r.randrange(size)) for _ in range(r.randint(1, 25))})
+        weight: dict = {}
+        for w, t in pairs:  # every earlier pair tried
+            weight[w, t] = 1 + max([0.0, *(weight[x, y] - gap * (w - x - 1) for x, y in pairs if x < w and y < t)])
+        best = max(weight.values())
+        got = license.chains(pairs, size, gap, 1)
+        price = lambda c: len(c) - gap * (c[-1] - c[0] + 1 - len(c))
+        assert abs(price(got[0]) - best) < 1e-9 and all(a < b for c in got for a, b in zip(c, c[1:]))
+        assert all(a[-1] < b[0] or b[-1] < a[0] for i, a in enumerate(got) for b in got[:i])
+
+
 def test_secret_forest(spark, docs):
     model = secrets.forest(spark)
     found = secrets.labelled_findings(600, seed=99)
@@ -716,6 +776,61 @@ def test_warc_round_trip():
         warc.parse(source[:-5])
 
 
+def test_warc_ids_and_broken_records(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a", None), (1, "u", "<p>b", None), (1, "u", "<p>a", "2020-02-02T00:00:00Z"), (2, None, None, None), (None, None, None, None), (1, "u", "<p>a", None)], "page_id long, url string, html string, fetched string")
+    records = warc.responses(pages, date="fetched")
+    made = warc.derivatives(records).collect()
+    ids = {r.record_id for r in made}
+    assert len(made) == 12 and len(ids) == 10 and len({r.refers_to for r in made}) == 5  # only the repeated row shares its ids
+    heads = {warc.parse(bytes(r.record))[0][0]["WARC-Record-ID"] for r in records.collect()}
+    assert {r.refers_to for r in made} == heads and {r.warc_date for r in made} == {warc.DATE, "2020-02-02T00:00:00Z"}
+    good = warc.response(1, "u", "<p>a")
+    broken = [b"", b"no record", good[:-3], good + good, good.replace(b"Content-Length", b"Content-Size", 1), good.replace(b": response", b": request", 1), good.replace(b"WARC-Target-URI", b"WARC-Target", 1), b"\xff\xfe\r\n\r\n"]
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(broken)] + [(99, bytearray(good)), (100, None)], "page_id long, record binary")
+    got = warc.derivatives(rows).collect()
+    assert sorted(r.page_id for r in got if r.kind == "error") == list(range(len(broken))) and all(r.error for r in got if r.kind == "error")
+    assert sorted(r.kind for r in got if r.page_id == 99) == ["conversion", "metadata"] and len(got) == len(broken) + 2
+
+
+def test_warc_against_a_plain_reading(spark):
+    """Texts and facts of all pages, read by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.links, self.title, self.skip, self.inside = [], [], "", 0, False
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "noscript", "template", "svg")
+            self.inside |= tag == "title"
+            self.links += [v for k, v in attrs if tag == "a" and k == "href"]
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style", "noscript", "template", "svg")
+            self.inside &= tag != "title"
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.words.append(data)
+                self.title += data if self.inside else ""
+
+    pages = table(spark, SF, "pages")
+    records = {(r.page_id, r.kind): warc.parse(bytes(r.record))[0] for r in warc.derivatives(warc.responses(pages)).collect()}
+    letters = lambda t: re.sub(r"\s+", "", t)
+    for p in pages.collect():
+        plain = Reader()
+        plain.feed(p.html or "")
+        plain.close()
+        head, block = records[p.page_id, "conversion"]
+        assert letters(block.decode()) == letters("".join(plain.words))
+        assert head["WARC-Payload-Digest"] == head["WARC-Block-Digest"] == warc.digest(block)
+        facts = [x.split(": ", 1) for x in records[p.page_id, "metadata"][1].decode().split("\r\n") if x]
+        assert [v for k, v in facts if k == "outlink"] == plain.links
+        assert [v for k, v in facts if k == "title"] == ([plain.title.strip()] if plain.title else [])
+        assert ["sourcePayloadDigest", warc.digest((p.html or "").encode())] in facts
+
+
 def test_every_query_is_registered(spark):
     import __spark_entry__
 
