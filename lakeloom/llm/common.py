@@ -85,11 +85,40 @@ def cuts(sizes: list[int], slice_bytes: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, in any case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def remainder(key, n: int):
     """crc32 of the id written as text, modulo ``n`` (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % n
 
 
+#: Logarithm of the bits of the bitmap of ``among``: 2 MB, whatever the number of keys.
+FILTER_BITS = 24
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``key`` may be one of the first column of ``keys``: all that are, and some others.
+
+    A bitmap of hashed keys of fixed size goes to the tasks, so that rows which no join wants are not
+    shuffled.  With many more keys than bits nearly all rows pass, and the join that follows decides.
+    """
+
+    def slot(c):
+        return F.pmod(F.xxhash64(c), F.lit(1 << bits))
+
+    one = keys.select(slot(F.col(keys.columns[0])).alias("slot"))
+    # at most 2^bits / 64 rows
+    bitmap = one.groupBy((F.col("slot") / 64).cast("long").alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").cast("int") % 64)).alias("__mask"))
+    held = rows.join(F.broadcast(bitmap), (slot(F.col(key)) / 64).cast("long") == F.col("__word"))
+    return held.where(F.call_function("shiftrightunsigned", F.col("__mask"), slot(F.col(key)).cast("int") % 64).bitwiseAND(1) == 1).drop("__word", "__mask")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable vertex of each vertex of undirected ``edges(a, b)``: rows ``(v, component)``.
 

@@ -41,13 +41,11 @@ def decode_table() -> np.ndarray:
     return ((vector ^ error[syndrome]) >> CHECKS).astype(np.uint16)
 
 
-def nearby(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codeword indices of each vector and its one-bit changes: values (n, 24) and a mask of first occurrences.
-
-    Column 0 of the values is the vector's own codeword.
-    """
+def nearby(vectors: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Codeword indices of each vector and its changes in one of the first ``bits`` bits: values (n, bits + 1) in
+    ascending order, and a mask of first occurrences."""
     table = decode_table()
-    flips = np.concatenate([[0], 1 << np.arange(BITS)])
+    flips = np.concatenate([[0], 1 << np.arange(bits)])
     keys = table[vectors[:, None] ^ flips[None, :]]
     order = np.argsort(keys, axis=1, kind="stable")
     ranked = np.take_along_axis(keys, order, axis=1)

@@ -14,6 +14,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.llm.common import unused
+
 CONTEXT = 48
 KEYWORDS = "token|secret|passwd|password|passphrase|pwd|api.?key|apikey|access.?key|private.?key|auth|bearer|credential|signature"
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abpr]-|sk_live_|rk_live_|sk-|AIza|eyJ|npm_|pypi-"
@@ -192,14 +194,6 @@ def running_sum(sizes: Column) -> Column:
     return F.aggregate(steps, sizes, add)
 
 
-def unused(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have, in any case of its letters."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def candidates(docs: DataFrame, text: str, found: str, tail: str) -> DataFrame:
     """``docs`` with ``found``, the array of (start, value, before, left, right) of each candidate of a text, and the text after the last.
 

@@ -1,10 +1,14 @@
 """SimHash near-dedup with Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into four exact blocks of 16 bits; three differing bits leave one block
-untouched.  The other 48 bits are two halves, one of which has at most one differing bit; 23 bits of
-a half are decoded to nearby Golay codewords, so a fingerprint gets eight keys of its own (one for
-each block and half) and about 42 nearby ones.  Own keys join nearby keys, and the join itself
-verifies the distance.  Each link comes out of exactly one of the eight tables.
+A 64-bit fingerprint is cut into four blocks of 16 bits.  Three differing bits leave two blocks
+untouched, or one, and then each of the others has one differing bit.  Six tables take the first case:
+their keys are two whole blocks.  Eight tables take the second: an untouched block, the untouched byte
+of another, and a third block, which with seven bits of that byte is decoded to nearby Golay codewords.
+So keys have 32 and 36 bits, and a fingerprint has 14 keys of its own and about 40 nearby ones.  Own keys
+join nearby keys, and the join itself verifies the distance.  Each link comes out of exactly one table.
+
+Groups are found in rounds: each fingerprint keeps its smallest neighbour, then each group its smallest
+neighbouring group, so a dense cluster gives as many rows as it has members, not pairs.
 """
 
 from __future__ import annotations
@@ -63,47 +67,62 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str
     return arrow_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", "text"), rows, "doc_id long, fp long")
 
 
+#: Pairs of whole blocks, and for each block the two others that give the byte and the Golay vector.
+PAIRS = tuple((i, j) for i in range(4) for j in range(i + 1, 4))
+OTHERS = tuple(tuple(j for j in range(4) if j != i)[:2] for i in range(4))
+
+
 def _parts(fp: np.ndarray):
-    """For table t = 2 * block + half: the exact block and the 23-bit vector of the half."""
-    blocks = [(fp >> np.uint64(16 * i)) & np.uint64(0xFFFF) for i in range(4)]
-    for i in range(4):
-        a, b, c = (blocks[j] for j in range(4) if j != i)
-        rest = a | b << np.uint64(16) | c << np.uint64(32)
-        for half in range(2):
-            yield 2 * i + half, blocks[i].astype(np.int64), ((rest >> np.uint64(24 * half)) & np.uint64(0x7FFFFF)).astype(np.int64)
+    """The tables of one block and one byte: table, whole block, byte, and the 23-bit vector."""
+    blocks = [((fp >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for i in range(4)]
+    for i, (j, k) in enumerate(OTHERS):
+        for u in range(2):
+            byte = blocks[j] >> 8 * u & 0xFF
+            yield len(PAIRS) + 2 * i + u, blocks[i], byte, blocks[k] | (byte & 0x7F) << 16
 
 
 def _keys(groups: DataFrame, near: bool) -> DataFrame:
-    """Rows ``(key, fp, rep)``: eight own keys, or all nearby keys, of each distinct fingerprint."""
+    """Rows ``(key, fp, rep, component)``: own keys, or all nearby keys, of each distinct fingerprint."""
 
-    def rows(fps, reps):
+    def rows(fps, reps, components):
         fp = np.array([x & MASK64 for x in fps], dtype=np.uint64)
+        every = np.arange(len(fp))
         at, keys = [], []
-        for t, block, vector in _parts(fp):
-            head = t << 28 | block << 12
+        for t, (i, j) in enumerate(PAIRS):
+            pair = ((fp >> np.uint64(16 * i)) & np.uint64(0xFFFF)) << np.uint64(16) | (fp >> np.uint64(16 * j)) & np.uint64(0xFFFF)
+            at.append(every)
+            keys.append(t << 48 | pair.astype(np.int64))
+        for t, block, byte, vector in _parts(fp):
+            head = t << 48 | block << 20 | byte << 12
             if near:
-                codes, fresh = golay.nearby(vector)
+                codes, fresh = golay.nearby(vector, 16)
                 i, j = np.nonzero(fresh)
                 at.append(i)
                 keys.append(head[i] | codes[i, j])
             else:
-                at.append(np.arange(len(fp)))
+                at.append(every)
                 keys.append(head | golay.decode_table()[vector])
         at = np.concatenate(at)
-        yield {"key": np.concatenate(keys), "fp": np.array(fps, dtype=np.int64)[at], "rep": np.array(reps, dtype=np.int64)[at]}
+        yield {"key": np.concatenate(keys)} | {n: np.array(x, dtype=np.int64)[at] for n, x in (("fp", fps), ("rep", reps), ("component", components))}
 
-    return arrow_rows(groups.select("fp", "rep"), rows, "key long, fp long, rep long", slice_bytes=160_000)
+    return arrow_rows(groups.select("fp", "rep", "component"), rows, "key long, fp long, rep long, component long", slice_bytes=160_000)
 
 
-def _first_table(x: str) -> str:
-    """SQL for the first table in which fingerprints of XOR ``x`` (at most 3 bits) must meet."""
+def _table(x: str) -> str:
+    """SQL for the one table that gives a pair of XOR ``x`` (at most 3 bits)."""
     block = [f"(shiftrightunsigned({x}, {16 * i}) & 65535L)" for i in range(4)]
+    pairs = " ".join(f"WHEN {block[i]} = 0 AND {block[j]} = 0 THEN {t}" for t, (i, j) in enumerate(PAIRS))
+    single = " ".join(f"WHEN {block[i]} = 0 THEN CASE WHEN {block[j]} & 255L = 0 THEN {len(PAIRS) + 2 * i} ELSE {len(PAIRS) + 2 * i + 1} END" for i, (j, _) in enumerate(OTHERS))
+    return f"CASE {pairs} {single} END"
 
-    def half(i: int) -> str:
-        a, b, _ = (block[j] for j in range(4) if j != i)
-        return f"CASE WHEN bit_count(({a} | shiftleft({b}, 16)) & 8388607L) <= 1 THEN {2 * i} ELSE {2 * i + 1} END"
 
-    return f"CASE WHEN {block[0]} = 0 THEN {half(0)} WHEN {block[1]} = 0 THEN {half(1)} WHEN {block[2]} = 0 THEN {half(2)} ELSE {half(3)} END"
+def _met(groups: DataFrame, max_bits: int) -> DataFrame:
+    """Own keys joined with nearby keys, distance verified: ``(key, fp_a, a, group_a, fp_b, b, group_b)``."""
+    if not 1 <= max_bits <= 3:
+        raise ValueError("the pigeonhole holds for 1 to 3 bits")
+    own = _keys(groups, near=False).toDF("key", "fp_a", "a", "group_a")
+    near = _keys(groups, near=True).toDF("key", "fp_b", "b", "group_b")
+    return own.join(near, "key").where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits)
 
 
 def links(groups: DataFrame, max_bits: int = 3) -> DataFrame:
@@ -111,14 +130,31 @@ def links(groups: DataFrame, max_bits: int = 3) -> DataFrame:
 
     ``groups(fp, rep)`` has distinct representatives; those of one fingerprint are paired too.
     """
-    if not 1 <= max_bits <= 3:
-        raise ValueError("the pigeonhole holds for 1 to 3 bits")
-    own = _keys(groups, near=False).toDF("key", "fp_a", "a")
-    near = _keys(groups, near=True).toDF("key", "fp_b", "b")
-    met = own.join(near, "key").where(
-        ((F.col("fp_a") < F.col("fp_b")) | ((F.col("fp_a") == F.col("fp_b")) & (F.col("a") < F.col("b")))) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits) & F.expr(f"shiftright(key, 28) = ({_first_table('(fp_a ^ fp_b)')})")
-    )
-    return met.select("a", "b")
+    met = _met(groups.withColumn("component", F.col("rep")), max_bits)
+    return met.where(((F.col("fp_a") < F.col("fp_b")) | ((F.col("fp_a") == F.col("fp_b")) & (F.col("a") < F.col("b")))) & F.expr(f"shiftright(key, 48) = ({_table('(fp_a ^ fp_b)')})")).select("a", "b")
+
+
+def nearest_links(groups: DataFrame, max_bits: int = 3) -> DataFrame:
+    """For each group the smallest that has a link to it, if smaller: pairs ``(a, b)`` of ``component``, a < b, b once.
+
+    ``groups(fp, rep, component)``: the representatives of distinct fingerprints and their groups.
+    """
+    met = _met(groups, max_bits).where("group_a < group_b")
+    return met.groupBy(F.col("group_b").alias("b")).agg(F.min("group_a").alias("a")).select("a", "b")
+
+
+def components(groups: DataFrame, max_bits: int = 3) -> DataFrame:
+    """Rows ``(fp, rep, component)``: the smallest ``rep`` reachable over links, for ``groups(fp, rep)`` of distinct fingerprints.
+
+    Rounds of ``nearest_links`` join groups until no two have a link; each halves at least the groups that have one.
+    """
+    found = cut_lineage(groups.select("fp", "rep", F.col("rep").alias("component")))
+    while True:
+        merged = connected_components(cut_lineage(nearest_links(found, max_bits)))
+        if merged.isEmpty():
+            return found
+        merged = merged.select(F.col("v").alias("component"), F.col("component").alias("top"))
+        found = cut_lineage(found.join(merged, "component", "left").select("fp", "rep", F.coalesce("top", "component").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -131,6 +167,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, text:
     """
     fps = cut_lineage(fingerprints(docs, shingle, text, key))
     groups = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(links(groups.where("rep IS NOT NULL"), max_bits))
-    classes = groups.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = components(groups.where("rep IS NOT NULL"), max_bits).select("fp", F.col("component").alias("component_id"))
+    return fps.join(found, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

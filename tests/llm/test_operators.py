@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from lakeloom.llm import decontaminate, golay, jpeg, langid, license, neardedup, packing, queries, secrets, simhash, suffix, toxicity, warc
-from lakeloom.llm.common import connected_components, table
+from lakeloom.llm.common import among, connected_components, table
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t", "a", "the same text", "the same text", "é ü 漢字 \U0001f600", "x" * 300_000, "token = \"0f" + "a1b2c3d4" * 5 + "\"", "<|endoftext|> y", "1 2 3"]
@@ -194,6 +194,54 @@ def test_links_lose_nothing(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_groups_of_fingerprints(spark):
+    """Rounds of smallest neighbours reach what all links reach: dense clusters, chains, far apart ones."""
+    r = random.Random(5)
+    flip = lambda f, n: f ^ sum(1 << i for i in r.sample(range(64), n))
+    dense = r.getrandbits(64)
+    fps = [flip(dense, r.randint(0, 2)) for _ in range(120)]
+    chain = [r.getrandbits(64)]
+    for _ in range(60):
+        chain.append(flip(chain[-1], 3))
+    fps = list(dict.fromkeys([*fps, *chain, *(r.getrandbits(64) for _ in range(50)), 0, 1, 7, (1 << 64) - 1]))
+    r.shuffle(fps)
+    rows = spark.createDataFrame([(simhash.signed(f), i) for i, f in enumerate(fps)], "fp long, rep long")
+    for limit in (2, 3):
+        linked = [(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= limit]
+        assert {x.rep: x.component for x in simhash.components(rows, limit).collect()} == components(set(range(len(fps))), linked)
+        near = simhash.nearest_links(rows.selectExpr("*", "rep AS component"), limit).collect()
+        assert {(x.a, x.b) for x in near} == {(min(i for i, k in linked if k == j), j) for _, j in linked}
+
+
+def test_filter_of_keys_keeps_what_a_join_wants(spark):
+    rows = spark.range(5000).selectExpr("id AS k", "id % 7 AS __word", "1 AS slot").withColumnRenamed("__word", "w")
+    keys = spark.range(0, 400, 3).selectExpr("id - 200 AS x")
+    for bits in (6, 12, 24):
+        got = {x.k for x in among(rows, "k", keys, bits).collect()}
+        assert {k for k in range(0, 200) if (k + 200) % 3 == 0} <= got
+    assert len(got) < 100 and among(rows, "k", keys.limit(0)).count() == 0
+
+
+def test_near_dedup_of_documents_against_brute_force(spark):
+    """Every pair of Jaccard similarity 0.8 or more among all documents of sf0.01, found by counting common shingles."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    sets = {r.doc_id: set(neardedup.shingle_set(simhash.words(r.text), 5).tolist()) for r in docs.collect()}
+    posts: dict[int, list] = {}
+    for k, v in sorted(sets.items()):
+        for x in v:
+            posts.setdefault(x, []).append(k)
+    common: dict[tuple, int] = {}
+    for at in posts.values():
+        for i, a in enumerate(at):
+            for b in at[i + 1 :]:
+                common[a, b] = common.get((a, b), 0) + 1
+    linked = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    near = [(a, b) for a, b in linked if sets[a] != sets[b]]
+    empty = [k for k in sorted(sets) if not sets[k]]
+    got = {r.doc_id: r.component_id for r in neardedup.classes(docs).collect()}
+    assert got == components(set(sets), linked + list(zip(empty, empty[1:]))) and len(near) >= 12
+
+
 def test_connected_components(spark):
     r = random.Random(4)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
