@@ -2,22 +2,26 @@
 
 A test item with an error budget of k edits is split into k + 1 pieces; any passage within the budget
 holds one piece unchanged.  One Aho-Corasick automaton finds all pieces in a text, and Myers'
-bit-parallel distance verifies each candidate place.
+bit-parallel distance verifies each candidate place.  Items too short for an edit must stand as whole
+words.  Items go to the tasks in blocks of bounded size, one block after the other.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import arrow_rows, cut_lineage
+from lakeloom.llm.common import arrow_rows, cut_lineage, unused
 
 BUDGET = 0.05
 #: Characters of test items that one automaton holds; more items make more passes over the documents.
 BLOCK_CHARS = 8_000_000
+#: Normalised characters of an item from which on finding it makes a document contaminated: a word or two
+#: are found, but stand in clean documents too.
+MIN_CHARS = 20
 
 _gap = re.compile(r"[\W_]+").sub
 
@@ -97,6 +101,12 @@ class Matcher:
             for at, offset in places:
                 _, item, k, mask, back = self.items[at]
                 start = end + 1 - size - offset
+                if not k:
+                    if start and text[start - 1] != " " or end + 1 < len(text) and text[end + 1] != " ":
+                        continue
+                    old = best.get(at)
+                    best[at] = (0, start, end + 1, 1) if old is None else (*old[:3], old[3] + 1)
+                    continue
                 near = tried.get(at)
                 # a window reaches 3k beyond the item on both sides: what a start within k could find is inside
                 if near is not None and any(abs(start - x) <= k for x in near[-4:]):
@@ -115,37 +125,39 @@ class Matcher:
         return best
 
 
-def blocks(items: DataFrame, text: str, key: str, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded characters (a longer item is a block of its own)."""
-    block, size = [], 0
-    for row in items.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL").toLocalIterator():
-        if block and size + len(row.t) > limit:
-            yield block
-            block, size = [], 0
-        block.append((row.k, row.t))
-        size += len(row.t)
-    if block:
-        yield block
-
-
 MATCHES = "doc_id long, item_id long, edits int, item_chars int, match_start int, match_end int, places int"
 
 
 def contamination(docs: DataFrame, items: DataFrame, budget: float = BUDGET, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document and test item found in it within ``budget`` x its length edits.
 
-    Null and empty texts or items match nothing; repeated rows give repeated matches; null ids stay
-    null; an empty table on either side gives no rows; other columns are ignored.
+    ``places`` counts places of an item that do not overlap the best one.  Null and empty texts or items
+    match nothing; items of one text match each; repeated rows give repeated matches; null ids stay null;
+    an empty table on either side gives no rows; other columns are ignored.  Items of over
+    ``block_chars`` characters in all are dealt to blocks by hash; each block's matches are written
+    to the shared folder before the next block is read, so one block is in memory at a time.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    named = items.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL")
+    total = named.agg(F.sum(F.length("t").cast("long"))).first()[0]
+    if not total:
+        return source.sparkSession.createDataFrame([], MATCHES)
+    blocks = -(-total // block_chars)
+    if blocks == 1:
+        return _pass(source, [(r.k, r.t) for r in named.collect()], budget)[0]
     out = None
-    for block in blocks(items, item_text, item_key, block_chars):
-        found = _pass(source, block, budget)
-        out = found if out is None else out.union(found)
-    return out if out is not None else source.sparkSession.createDataFrame([], MATCHES)
+    for block in range(2 * blocks):  # half full on the average: by hash they are not even
+        held = [(r.k, r.t) for r in named.where(F.pmod(F.xxhash64("k", "t"), F.lit(2 * blocks)) == block).collect()]
+        if held:
+            found, sent = _pass(source, held, budget)
+            found = cut_lineage(found)
+            sent.destroy()
+            out = found if out is None else out.union(found)
+    return out
 
 
-def _pass(source: DataFrame, block: list[tuple[int, str]], budget: float) -> DataFrame:
+def _pass(source: DataFrame, block: list[tuple[int, str]], budget: float) -> tuple[DataFrame, Broadcast]:
+    """Matches of the items of one block, and the broadcast that holds these."""
     sent = source.sparkSession.sparkContext.broadcast(block)
     built: list[Matcher] = []
 
@@ -160,10 +172,15 @@ def _pass(source: DataFrame, block: list[tuple[int, str]], budget: float) -> Dat
                     out[name].append(value)
         yield out
 
-    return arrow_rows(source, rows, MATCHES)
+    return arrow_rows(source, rows, MATCHES), sent
+
 
+def clean(docs: DataFrame, items: DataFrame, budget: float = BUDGET, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` without the documents that hold a test item of ``min_chars`` normalised characters or more.
 
-def clean(docs: DataFrame, items: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """``docs`` without the documents that hold a test item; a document with a null id stays."""
-    leaked = cut_lineage(contamination(docs, items, budget).select("doc_id").where("doc_id IS NOT NULL").distinct())
-    return docs.join(leaked.withColumnRenamed("doc_id", "__leaked"), F.col("doc_id") == F.col("__leaked"), "left_anti")
+    A document with a null id or text stays; rows that share an id go together; an empty table on
+    either side leaves ``docs`` as they are, and so does every column.
+    """
+    leaked = cut_lineage(contamination(docs, items, budget).where(F.col("item_chars") >= min_chars).select("doc_id").where("doc_id IS NOT NULL").distinct())
+    name = unused(docs, "__leaked")
+    return docs.join(leaked.toDF(name), F.col("doc_id") == F.col(name), "left_anti")

@@ -386,7 +386,7 @@ def test_decontamination_against_brute_force(spark):
     for budget in (0.0, 0.05, 0.1):
         m = decontaminate.Matcher(list(enumerate(items)), budget)
         for d in docs:
-            want = {i: e for i, item in enumerate(items) if (e := edit_distance(item, d)) <= int(len(item) * budget)}
+            want = {i: e for i, item in enumerate(items) if (e := edit_distance(item, d)) <= (k := int(len(item) * budget)) and (k or f" {item} " in f" {d} ")}
             got = m.matches(d)
             assert {i: x[0] for i, x in got.items()} == want
             for i, (edits, start, stop, _) in got.items():
@@ -396,6 +396,16 @@ def test_decontamination_against_brute_force(spark):
     assert sorted(one.collect()) == sorted(many.collect())
 
 
+def test_short_items_are_words(spark):
+    docs = spark.createDataFrame([(1, "banana cabbage"), (2, "a nan, by a hand; A"), (3, "Nan"), (4, "x" * 9 + " the quick brown fox jumps over the lazy dog")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a"), (2, "nan"), (3, "The quick brown fox jumps over a lazy dog"), (4, " "), (5, "a")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.places for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {(2, 1): 3, (2, 5): 3, (2, 2): 1, (3, 2): 1, (4, 3): 1} or got == {(2, 1): 3, (2, 5): 3, (2, 2): 1, (3, 2): 1}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items, budget=0.1).collect()) == [1, 2, 3]
+    clash = docs.selectExpr("*", "1 AS __leaked", "2 AS item_chars")
+    assert decontaminate.clean(clash, items, budget=0.1).columns == clash.columns
+
+
 def brute_spans(texts, length):
     from collections import Counter
 
