@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from functools import reduce
 
 import numpy as np
@@ -23,17 +24,15 @@ from lakeloom.llm.simhash import hashes, words
 
 #: Bound of the labelled training sample (rows with the smallest hashes of their ids).
 TRAIN_ROWS = 8_000
-#: Bound of the grams from which the lexicon is chosen.
-MAX_TERMS = 5_000
 #: Nats over which a gram's toxic rows are beyond the best of many thousand grams by chance.
 CHANCE = math.log(2e5) + 2
 _SALTS = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 STEM = 4, 9  # shortest and longest stem
 WINDOW = 6  # words on each side of a hit
-FEATURES = ("plain", "fuzzy", "quoted", "aimed", "density")
+FEATURES = ("plain", "fuzzy", "quoted", "aimed", "density", "direct")
 #: Mean (intercept first) and precision of the Gaussian prior of the logistic weights.
-PRIOR, PRECISION = np.array([-3.0, 4.0, 2.0, 0.5, 0.5, 0.2]), 0.5
+PRIOR, PRECISION = np.array([-3.0, 3.0, 1.5, 0.5, 0.5, 0.2, 2.0]), 0.5
 
 _word = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _quotes = re.compile(r"[\"“”«»„]")
@@ -79,6 +78,14 @@ def unlike(docs: DataFrame) -> DataFrame:
     return cut_lineage(out.select("text", "toxic"))
 
 
+def gain_of(bad: np.ndarray, clean: np.ndarray, base: float) -> np.ndarray:
+    """Nats by which toxic rows among those with a gram are beyond the share of all rows; 0 below four fifths."""
+    share = np.divide(bad, bad + clean, out=np.zeros(len(bad)), where=bad > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = (bad + clean) * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
+    return np.where(share < 0.8, 0, gain)
+
+
 def learn_lexicon(texts: DataFrame) -> list[str]:
     """Words (ending in a dot) and stems of the bounded sample ``texts(text, toxic)`` that mark toxic rows.
 
@@ -101,8 +108,9 @@ def learn_lexicon(texts: DataFrame) -> list[str]:
         return []
     base = total.bad / total.n
     counted = arrow_rows(texts.select("text", "toxic"), rows, "gram string, bad long, n long", slice_bytes=16 << 20)
-    often = counted.groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where("bad >= 3 AND bad >= 0.8 * n")
-    terms = [r.gram for r in often.orderBy(F.desc(F.col("bad") - 3 * (F.col("n") - F.col("bad"))), "gram").limit(MAX_TERMS).collect()]
+    often = counted.groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.expr("bad >= 3 AND bad >= 0.8 * n") & (F.col("bad") * -math.log(base) >= CHANCE))
+    # a gram gains less on fewer toxic rows, so one that is not beyond chance on all of them never will be
+    terms = sorted(r.gram for r in often.collect() if gain_of(np.array([r.bad]), np.array([r.n - r.bad]), base)[0] >= CHANCE)
     if not terms:
         return []
     place = {g: i for i, g in enumerate(terms)}
@@ -120,10 +128,7 @@ def learn_lexicon(texts: DataFrame) -> list[str]:
         bad = np.zeros(len(terms))
         for at in rows:
             bad[at] += 1
-        share = np.divide(bad, bad + clean, out=np.zeros(len(terms)), where=bad > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = (bad + clean) * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
-        return np.where(share < 0.8, 0, gain)
+        return gain_of(bad, clean, base)
 
     left = [r.at for r in found if r.toxic]
     alone = dict(zip(terms, gains(left)))
@@ -149,6 +154,25 @@ def learn_lexicon(texts: DataFrame) -> list[str]:
     return sorted(set(chosen))
 
 
+def ordinary_words(texts: DataFrame, terms: list[str]) -> list[str]:
+    """Words of the bounded sample ``texts(text, toxic)`` that look like misspelled terms but do not mark toxic rows."""
+    built: list[LexiconAutomaton] = []
+
+    def rows(values, toxic):
+        if not built:
+            built.append(LexiconAutomaton(terms))
+        bad, all_ = Counter(), Counter()
+        for t, y in zip(values, toxic):
+            found = {w for w in set(_word.findall((t or "").lower())) if built[0].lookup(w) == 2}
+            all_.update(found)
+            if y:
+                bad.update(found)
+        yield {"word": list(all_), "bad": [bad[w] for w in all_], "n": list(all_.values())}
+
+    counted = arrow_rows(texts.select("text", "toxic"), rows, "word string, bad long, n long", slice_bytes=16 << 20)
+    return sorted(r.word for r in counted.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where("bad < 0.8 * n").collect())
+
+
 def edits(size: int) -> int:
     """Misspellings allowed in a term of so many letters."""
     return 0 if size < 5 else 1 if size < 10 else 2
@@ -158,10 +182,11 @@ class LexiconAutomaton:
     """Trie of terms x Levenshtein automaton, determinised lazily.
 
     A state maps trie nodes to the fewest edits that reach them.  ``lookup`` gives 0 for no hit, 1 for
-    an exact word or stem, 2 for a misspelled word.
+    an exact word or stem, 2 for a misspelled word.  ``ordinary`` words are no misspellings.
     """
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], ordinary: Iterable[str] = ()):
+        self.ordinary = frozenset(ordinary)
         self.children: list[dict[str, int]] = [{}]
         self.word = [-1]  # edits allowed at the end of a word, -1 elsewhere
         self.stem = [False]
@@ -240,17 +265,18 @@ class LexiconAutomaton:
                 self.start = self._state({0: 0})
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            self.cache[word] = hit = self.read(word)
+            hit = self.read(word)
+            self.cache[word] = hit = 0 if hit == 2 and word in self.ordinary else hit
         return hit
 
 
 def features(text: str | None, automaton: LexiconAutomaton) -> tuple[float, ...]:
-    """Counts of hits by kind and context, logarithmic, and hits per hundred words."""
+    """Counts of hits by kind and context, logarithmic, hits per hundred words, and whether a term stands unquoted as it is."""
     lower = (text or "").lower()
     found = _word.findall(lower)
     look = automaton.lookup
     if not any(map(look, set(found))):
-        return 0.0, 0.0, 0.0, 0.0, 0.0
+        return (0.0,) * len(FEATURES)
     plain = fuzzy = quoted = aimed = hits = 0
     places = [(m.start(), m.group()) for m in _word.finditer(lower)]
     for i, (at, w) in enumerate(places):
@@ -268,7 +294,7 @@ def features(text: str | None, automaton: LexiconAutomaton) -> tuple[float, ...]
         else:
             fuzzy += 1
         aimed += any(x in _aim for x in window)
-    return tuple(map(math.log1p, (plain, fuzzy, quoted, aimed))) + (min(100.0 * hits / len(found), 20.0) / 4,)
+    return tuple(map(math.log1p, (plain, fuzzy, quoted, aimed))) + (min(100.0 * hits / len(found), 20.0) / 4, float(plain > 0))
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -286,7 +312,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, train_rows: int = TRAIN_ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows ``(doc_id, held_out, score, predicted, plain, fuzzy, quoted, aimed, density)`` for every document.
+    """Rows ``(doc_id, held_out, score, predicted, plain, fuzzy, quoted, aimed, density, direct)`` for every document.
 
     Labels are learned only from rows outside the held-out fold.  Null and empty texts have no hits and
     get the score of a text without hits; without labels there is no lexicon and the prior decides;
@@ -294,12 +320,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sample = cut_lineage(training_rows(docs, labels, train_rows, folds, held))  # at most train_rows rows, so it may be broadcast
-    terms = learn_lexicon(unlike(source.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])))
+    learned = unlike(source.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))
+    terms = learn_lexicon(learned)
+    ordinary = ordinary_words(learned, terms) if terms else []
     built: list[LexiconAutomaton] = []
 
     def rows(keys, texts):
         if not built:
-            built.append(LexiconAutomaton(terms))
+            built.append(LexiconAutomaton(terms, ordinary))
         found = [features(t, built[0]) for t in texts]
         yield {"doc_id": keys} | {n: [f[i] for f in found] for i, n in enumerate(FEATURES)}
 
