@@ -36,9 +36,10 @@ def decode_table() -> np.ndarray:
         syndrome_low ^= np.where(low >> bit & 1, residue[bit], 0)
     for bit in range(11):
         syndrome_high ^= np.where(high >> bit & 1, residue[bit + 12], 0)
-    vector = (high[:, None] << 12 | low[None, :]).ravel()
-    syndrome = (syndrome_high[:, None] ^ syndrome_low[None, :]).ravel()
-    return ((vector ^ error[syndrome]) >> CHECKS).astype(np.uint16)
+    table = np.empty((len(high), len(low)), dtype=np.uint16)
+    for h in high:  # row by row, so that nothing but the table takes much memory
+        table[h] = (h << 12 | low) >> CHECKS ^ error[syndrome_high[h] ^ syndrome_low] >> CHECKS
+    return table.ravel()
 
 
 def nearby(vectors: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:

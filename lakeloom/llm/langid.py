@@ -36,6 +36,8 @@ BROADCAST_ROWS = 4_000_000
 #: Sharpness of ``score``: softmax of the negative entropies (nats a character) times this.
 SHARPNESS = 8.0
 UNKNOWN = "und"
+#: Characters of text that are worked on together (a longer text is alone).
+SLICE = 1 << 18
 
 _fold: list[np.ndarray] = []
 
@@ -83,7 +85,7 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 #: Distinct grams of one language that a task holds before it passes them on.
-HELD_GRAMS = 500_000
+HELD_GRAMS = 200_000
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +109,7 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
         held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             names, texts = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())), b.column(2).to_pylist()
-            for lo, hi in slices([texts], len(texts), 1 << 20):
+            for lo, hi in slices([texts], len(texts), SLICE):
                 for name in set(names[lo:hi]):
                     gram, _, _ = encode([t for t, x in zip(texts[lo:hi], names[lo:hi]) if x == name])
                     new = np.unique(gram, return_counts=True)
@@ -143,13 +145,13 @@ class HashTable:
         self.hash, self.values = h[order], values[order].astype(np.float32)
         self.shift = np.uint64(64 - max(4, int(2 * len(h)).bit_length()))
         starts = np.arange((1 << int(64 - int(self.shift))), dtype=np.uint64) << self.shift
-        self.start = np.searchsorted(self.hash, starts).astype(np.int64)
+        self.start = np.searchsorted(self.hash, starts).astype(np.int32)
         self.hash = np.concatenate([self.hash, np.full(1, 2**64 - 1, dtype=np.uint64)])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 where it is absent."""
         h = _mix(keys)
-        at = self.start[(h >> self.shift).astype(np.int64)]
+        at = self.start[(h >> self.shift).astype(np.int64)].astype(np.int64)
         seen = self.hash[at]
         row = np.where(seen == h, at, -1)
         todo = np.flatnonzero(seen < h)
@@ -400,7 +402,7 @@ class StoredModel:
         def run(batches):
             for b in batches:
                 values = b.column(0).to_pylist()
-                for lo, hi in slices([values], len(values), 1 << 20):
+                for lo, hi in slices([values], len(values), SLICE):
                     gram, doc, _ = encode(values[lo:hi])
                     order = np.lexsort((gram, doc))
                     gram, doc = gram[order], doc[order]
@@ -430,6 +432,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", broadcast_row
     place = F.element_at(F.create_map(*[F.lit(v) for i, x in enumerate(langs) for v in (x, i)]), F.col("lang")).cast("int")
     counted = named.select(place.alias("lang"), "calibrates", "gram", "n")
     rest = docs.where(F.col(lang).isNotNull() & _calibrates(text)).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).select(place.alias("lang"), "text")
+    sent = None
     if named.count() > broadcast_rows:
         first = StoredModel(langs, part if not (part := counted.where("NOT calibrates")).isEmpty() else counted)
         name = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
@@ -446,7 +449,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", broadcast_row
         def run(batches):
             for b in batches:
                 lang_, texts = b.column(0), b.column(1).to_pylist()
-                for lo, hi in slices([texts], len(texts), 1 << 20):
+                for lo, hi in slices([texts], len(texts), SLICE):
                     h, size, _ = sent.value.entropies(texts[lo:hi])
                     use = np.flatnonzero(size > 0)
                     yield pa.RecordBatch.from_arrays([lang_.slice(lo, hi - lo).take(pa.array(use)), pa.array(list(h[use]), pa.list_(pa.float64())), pa.array(size[use])], names=["lang", "h", "n"])
@@ -454,6 +457,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", broadcast_row
         scored = rest.mapInArrow(run, "lang int, h array<double>, n long")
         model = Model(langs, code, gram, n)
     model.limits = calibrate(langs, model.limits, _calibration(scored, langs))
+    if sent is not None:
+        sent.destroy()  # the tasks hold one model at a time
     return model
 
 
@@ -483,7 +488,7 @@ def identify(docs: DataFrame, model: Model | StoredModel | None, text: str = "te
         for batch in batches:
             texts = batch.column(place).to_pylist()
             parts = [[], [], [], []]
-            for lo, hi in slices([texts], len(texts), 1 << 20):
+            for lo, hi in slices([texts], len(texts), SLICE):
                 if stored:
                     gram, doc, letters = encode(texts[lo:hi])
                     entropies = [x if x is not None else [0.0] * len(langs) for x in batch.column(width).slice(lo, hi - lo).to_pylist()]

@@ -21,6 +21,8 @@ from lakeloom.llm import simhash
 from lakeloom.llm.common import among, arrow_rows, connected_components, cut_lineage, remainder, unused
 
 WORDS, SIMILARITY = 5, 0.8
+#: Bytes of text whose shingles are worked on together (a longer text is alone).
+SLICE = 1 << 20
 #: One document of so many, by its id, tells which shingles are common, from ``OFTEN`` of those documents on; at most
 #: ``COMMON`` shingles are sent to the tasks.  They bear on the order of shingles only: pairs are found under any order.
 SAMPLE, OFTEN, COMMON = 16, 4, 500_000
@@ -111,13 +113,13 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
         enough = overlap >= F.lit(similarity / (1 + similarity) - 1e-9) * (F.col("size_a") + F.col("size_b"))
         pairs = cut_lineage(pairs.join(one, "a").join(two, "b").where(F.coalesce(enough, F.lit(True))).select("a", "b").distinct())
         ids = ends(pairs)
-        texts = among(source, "doc_id", ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        held = cut_lineage(arrow_rows(texts, sets, "doc_id long, shingles array<long>"))
+        texts = among(source, "doc_id", ids).join(ids, "doc_id").dropDuplicates(["doc_id"])  # a semi join would go before the filter
+        held = cut_lineage(arrow_rows(texts, sets, "doc_id long, shingles array<long>", SLICE))
         left, right = held.toDF("a", "sa"), held.toDF("b", "sb")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("all"))
         return cut_lineage(both.where(F.col("both") >= F.lit(similarity) * (F.col("all") - F.col("both"))).select("a", "b"))
 
-    marked = cut_lineage(arrow_rows(source, features, "doc_id long, k1 long, k2 long, size int, fp long, prefix array<long>, parts array<byte>"))
+    marked = cut_lineage(arrow_rows(source, features, "doc_id long, k1 long, k2 long, size int, fp long, prefix array<long>, parts array<byte>", SLICE))
     exact = cut_lineage(marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
     # fingerprints: the classes of one, and of each the nearest smaller one
     prints = cut_lineage(exact.groupBy("fp").agg(F.min("rep").alias("rep")))
