@@ -15,7 +15,8 @@ from lakeloom.plans.descriptor import Aggregate, Filter, Join, Nearest, Query, W
 from lakeloom.plans.lower import lower
 
 _OPS = {"=": "eq", "==": "eq", "!=": "neq", "<>": "neq", ">": "gt", ">=": "gte", "<": "lt", "<=": "lte"}
-_cached: dict[tuple, tuple[float, DataFrame]] = {}
+#: Kept results by the hash of their plan: until when, and the frame.
+_cached: dict[int, list[tuple[float, DataFrame]]] = {}
 
 
 def _filter(column: str, op: str, value=None) -> Filter:
@@ -153,8 +154,9 @@ class Frame:
     def group_by(self, *names: str) -> "Frame":
         return self._with("group_by", names, group_by=tuple(names))
 
-    def aggregate(self, fn: str, column: str = "*", alias: str | None = None, fraction: float = 0.5) -> "Frame":
-        return self._add("aggregate", (fn, column, alias, fraction), "aggregates", Aggregate(fn, column, alias, fraction))
+    def aggregate(self, fn: str, column: str = "*", alias: str | None = None, fraction: float = 0.5, order: str | None = None) -> "Frame":
+        """``order`` names the column that says which row is ``first`` or ``last``."""
+        return self._add("aggregate", (fn, column, alias, fraction, order), "aggregates", Aggregate(fn, column, alias, fraction, order))
 
     agg = aggregate
 
@@ -167,6 +169,19 @@ class Frame:
     def value_counts(self, column: str) -> "Frame":
         return self.group_by(column).aggregate("count", "*", "count").sort("count", "desc").sort(column)
 
+    def grouped(self, *names: str) -> "Grouped":
+        """Grouping whose aggregates are methods: ``grouped("a").sum("x", "total").count("n")``."""
+        return Grouped(self.group_by(*names))
+
+    def quantile(self, column: str, p: float = 0.5, alias: str | None = None) -> "Frame":
+        return self.percentile(column, p, alias)
+
+    def group_by_near(self, column: str, k: int = 20) -> "Frame":
+        """Rows grouped by nearness of their vectors to ``k`` centres: ``_cluster`` beside each row."""
+        from lakeloom.operators.vector import clustered
+
+        return Frame.of(clustered(self.df, column, k), self._q.name)
+
     def pivot(self, keys, column: str, values, fn: str, measure: str) -> "Frame":
         """One column for each of the listed values."""
         base = self.df.groupBy(*columns(keys)).pivot(column, list(values)).agg(getattr(F, fn)(measure))
@@ -176,6 +191,46 @@ class Frame:
         order = tuple((o, "asc") if isinstance(o, str) else tuple(o) for o in ((order_by,) if isinstance(order_by, str) else order_by))
         return self._add("window", (fn, alias, column, partition_by, order_by, frame, offset, default), "windows", WindowSpec(fn, alias, column, columns(partition_by), order, frame, offset, default))
 
+    def _ranked(self, fn: str, alias: str, partition_by, order_by, offset: int = 1) -> "Frame":
+        return self.window(fn, alias, None, partition_by, order_by, offset=offset)
+
+    def row_number(self, alias: str, partition_by=(), order_by=()) -> "Frame":
+        return self._ranked("row_number", alias, partition_by, order_by)
+
+    def rank(self, alias: str, partition_by=(), order_by=()) -> "Frame":
+        return self._ranked("rank", alias, partition_by, order_by)
+
+    def dense_rank(self, alias: str, partition_by=(), order_by=()) -> "Frame":
+        return self._ranked("dense_rank", alias, partition_by, order_by)
+
+    def percent_rank(self, alias: str, partition_by=(), order_by=()) -> "Frame":
+        return self._ranked("percent_rank", alias, partition_by, order_by)
+
+    def cume_dist(self, alias: str, partition_by=(), order_by=()) -> "Frame":
+        return self._ranked("cume_dist", alias, partition_by, order_by)
+
+    def ntile(self, n: int, alias: str, partition_by=(), order_by=()) -> "Frame":
+        return self._ranked("ntile", alias, partition_by, order_by, n)
+
+    def lag(self, column: str, alias: str, partition_by=(), order_by=(), offset: int = 1, default=None) -> "Frame":
+        return self.window("lag", alias, column, partition_by, order_by, None, offset, default)
+
+    def lead(self, column: str, alias: str, partition_by=(), order_by=(), offset: int = 1, default=None) -> "Frame":
+        return self.window("lead", alias, column, partition_by, order_by, None, offset, default)
+
+    def first_value(self, column: str, alias: str, partition_by=(), order_by=(), frame=None) -> "Frame":
+        return self.window("first_value", alias, column, partition_by, order_by, frame)
+
+    def last_value(self, column: str, alias: str, partition_by=(), order_by=(), frame=None) -> "Frame":
+        return self.window("last_value", alias, column, partition_by, order_by, frame)
+
+    def nth_value(self, column: str, n: int, alias: str, partition_by=(), order_by=(), frame=None) -> "Frame":
+        return self.window("nth_value", alias, column, partition_by, order_by, frame, n)
+
+    def over(self, fn: str, column: str, alias: str, partition_by=(), order_by=(), frame=None) -> "Frame":
+        """``sum``, ``avg``, ``min``, ``max`` or ``count`` over a window."""
+        return self.window(fn, alias, column, partition_by, order_by, frame)
+
     # -- order
     def sort(self, column: str, direction: str = "asc") -> "Frame":
         return self._add("sort", (column, direction), "sort", (column, direction))
@@ -239,6 +294,10 @@ class Frame:
     def page(self, offset: int, size: int) -> list[dict[str, Any]]:
         return self.offset(offset).limit(size).collect()
 
+    def lazy(self) -> "Pages":
+        """A handle for pages and rows; the result is kept at its first use and computed once."""
+        return Pages(self)
+
     def first(self) -> dict[str, Any] | None:
         return next(iter(self.limit(1).collect()), None)
 
@@ -274,23 +333,52 @@ class Frame:
         plan = self.df._jdf.queryExecution().explainString(self.df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return {"plan": plan, "pushed_filters": re.findall(r"PushedFilters: \[(.*?)\]", plan), "read_schema": re.findall(r"ReadSchema: (struct<.*?>)\n", plan), "shuffles": len(re.findall(r"^\(\d+\) Exchange", plan, re.M))}
 
-    def sample(self, n: int, seed: int = 0) -> "Frame":
-        """``n`` rows by a hash of their values and a seed: the same rows each time."""
+    def sample(self, n: int, seed: int = 0, key: str | None = None) -> "Frame":
+        """``n`` rows by a hash of the seed and a key column, or of all values: the same rows each time."""
         source = self.df
-        return Frame.of(source.orderBy(F.xxhash64(F.lit(seed), F.to_json(F.struct(*[F.col(f"`{c}`") for c in source.columns])))).limit(n), self._q.name)
+        by = F.md5(F.concat(F.lit(f"{seed}|"), F.col(f"`{key}`").cast("string"))) if key else F.xxhash64(F.lit(seed), F.to_json(F.struct(*[F.col(f"`{c}`") for c in source.columns])))
+        return Frame.of(source.orderBy(by).limit(n), self._q.name)
 
     def cache(self, ttl: float | None = None) -> "Frame":
-        """Keep the result; with ``ttl`` seconds an equal query within them reuses it."""
-        key = (self._q.name, repr(self._q.calls))
-        now = time.time()
-        for k in [k for k, (until, _) in _cached.items() if until < now]:
-            _cached.pop(k)[1].unpersist()
-        if key not in _cached:
-            _cached[key] = (now + (ttl if ttl is not None else 1e12), self.df.cache())
-        return Frame.of(_cached[key][1], self._q.name)
+        """Keep the result; with ``ttl`` seconds a query of the same plan over the same source reuses it within them."""
+        now, df = time.time(), self.df
+        for h in list(_cached):
+            for until, kept in [x for x in _cached[h] if x[0] < now or x[1].sparkSession != df.sparkSession]:
+                _cached[h].remove((until, kept))
+                if kept.sparkSession == df.sparkSession:
+                    kept.unpersist()
+        same = _cached.setdefault(df.semanticHash(), [])
+        found = next((kept for _, kept in same if kept.sameSemantics(df)), None)
+        if found is None:
+            found = df.cache()
+            same.append((now + (ttl if ttl is not None else 1e12), found))
+        return Frame.of(found, self._q.name)
 
     materialize = cache
 
+    def csv_lines(self, delimiter: str = ",") -> DataFrame:
+        """One row ``line`` for each row: its values as CSV, made on the executors."""
+        import csv
+        import io
+
+        import pyarrow as pa
+
+        def run(batches):
+            for b in batches:
+                lines = []
+                for row in zip(*[c.to_pylist() for c in b.columns]):
+                    out = io.StringIO()
+                    csv.writer(out, delimiter=delimiter, lineterminator="").writerow(["" if v is None else str(v).lower() if isinstance(v, bool) else v for v in row])
+                    lines.append(out.getvalue())
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
+
+        return self.df.mapInArrow(run, "line string")
+
+    def json_lines(self) -> DataFrame:
+        """One row ``line`` for each row: a JSON object, nulls left out."""
+        df = self.df
+        return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("line"))
+
     def to_csv(self, delimiter: str = ",") -> str:
         import csv
         import io
@@ -325,6 +413,85 @@ class Frame:
         return f"table({self._q.name!r})" + "".join(f".{c}({', '.join([*map(text, a), *[f'{k}={text(v)}' for k, v in kw]])})" for c, a, kw in self._q.calls)
 
 
+class Grouped:
+    """A grouped frame; each method adds an aggregate.  ``frame`` is the result."""
+
+    def __init__(self, frame: Frame):
+        self.frame = frame
+
+    def _agg(self, fn: str, column: str, alias: str | None, fraction: float = 0.5) -> "Grouped":
+        return Grouped(self.frame.aggregate(fn, column, alias, fraction))
+
+    def count(self, alias: str | None = None, column: str = "*") -> "Grouped":
+        return self._agg("count", column, alias)
+
+    def sum(self, column: str, alias: str | None = None) -> "Grouped":
+        return self._agg("sum", column, alias)
+
+    def avg(self, column: str, alias: str | None = None) -> "Grouped":
+        return self._agg("avg", column, alias)
+
+    def min(self, column: str, alias: str | None = None) -> "Grouped":
+        return self._agg("min", column, alias)
+
+    def max(self, column: str, alias: str | None = None) -> "Grouped":
+        return self._agg("max", column, alias)
+
+    def stddev(self, column: str, alias: str | None = None) -> "Grouped":
+        return self._agg("stddev_samp", column, alias)
+
+    def stddev_pop(self, column: str, alias: str | None = None) -> "Grouped":
+        return self._agg("stddev_pop", column, alias)
+
+    def variance(self, column: str, alias: str | None = None) -> "Grouped":
+        return self._agg("var_samp", column, alias)
+
+    def var_pop(self, column: str, alias: str | None = None) -> "Grouped":
+        return self._agg("var_pop", column, alias)
+
+    def median(self, column: str, alias: str | None = None) -> "Grouped":
+        return self._agg("median", column, alias)
+
+    def percentile(self, column: str, p: float = 0.5, alias: str | None = None) -> "Grouped":
+        return self._agg("percentile", column, alias, p)
+
+    def having(self, column, op: str | None = None, value=None) -> "Grouped":
+        return Grouped(self.frame.having(column, op, value))
+
+    @property
+    def df(self) -> DataFrame:
+        return self.frame.df
+
+    def collect(self) -> list[dict[str, Any]]:
+        return self.frame.collect()
+
+
+class Pages:
+    """Pages and rows of a result that is computed once, at the first call."""
+
+    def __init__(self, frame: Frame):
+        self._frame, self._kept = frame, None
+
+    def _result(self) -> Frame:
+        if self._kept is None:
+            self._kept = Frame.of(self._frame.df.persist(), self._frame._q.name)
+        return self._kept
+
+    def page(self, offset: int, size: int) -> list[dict[str, Any]]:
+        return self._result().page(offset, size)
+
+    def row(self, i: int) -> dict[str, Any] | None:
+        return next(iter(self.page(i, 1)), None)
+
+    def stream(self, size: int = 4096) -> Iterator[list[dict[str, Any]]]:
+        return self._result().stream(size)
+
+    def close(self) -> None:
+        if self._kept is not None:
+            self._kept.df.unpersist()
+            self._kept = None
+
+
 def _count(n: int, what: str) -> int:
     if not isinstance(n, int) or n < 0:
         raise QueryError("INVALID_FILTER", f"{what} is a number from 0")

@@ -94,10 +94,12 @@ def aggregate(a: Aggregate) -> Column:
             out = F.sort_array(F.collect_list(c))
         case "string_agg":
             out = F.array_join(F.sort_array(F.collect_list(c.cast("string"))), ",")
-        case "first":
-            out = F.min(c)  # arrival order does not exist: the smallest
-        case "last":
-            out = F.max(c)
+        case "first" | "last":
+            if not a.order:
+                raise QueryError("INVALID_AGGREGATE", f"{a.fn} needs an order: rows of a table have none")
+            # of equal places the smaller, or larger, value; rows without a place do not count
+            pair = F.when(quoted(a.order).isNotNull(), F.struct(quoted(a.order).alias("o"), c.alias("v")))
+            out = (F.min if a.fn == "first" else F.max)(pair)["v"]
         case _:
             out = getattr(F, a.fn)(c)
     return out.alias(a.name)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from itertools import islice
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.errors import QueryError
@@ -51,82 +50,286 @@ def nearest(df: DataFrame, column: str, query, k: int = 10, metric: str = "cosin
     return ranked.withColumn("_score", score).orderBy(d, *ties).limit(k)
 
 
+BLOCK = "ids array<long>, dim int, data binary"
 NEAR = "left_id long, right_id long, distance double"
 
 
-def _task_top(queries: list[tuple[int, list[float]]], k: int, metric: str):
-    """Function over Arrow batches ``(right_id, v)`` that gives each query's ``k`` nearest rows of its task."""
+def _blocks(df: DataFrame, vector: str, key: str, rows: int) -> DataFrame:
+    """Rows of ``BLOCK``: the vectors of up to ``rows`` rows of one task and length side by side.  Null vectors go."""
     import numpy as np
     import pyarrow as pa
 
-    ids = [q for q, _ in queries]
-    dims = {}
-    for i, (_, v) in enumerate(queries):
-        dims.setdefault(len(v), []).append(i)
-    matrices = {d: np.array([queries[i][1] for i in at], dtype=float).reshape(len(at), d) for d, at in dims.items()}
+    schema = pa.schema([("ids", pa.list_(pa.int64())), ("dim", pa.int32()), ("data", pa.binary())])
 
-    def distances(q, x):
-        if metric == "l2":
-            return ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-        dot = (q[:, None, :] * x[None, :, :]).sum(axis=2)
-        if metric == "dot":
-            return -dot
-        norm = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
-        return np.where(norm > 0, 1 - dot / np.where(norm > 0, norm, 1), 1.0)
+    def made(ids, vectors):
+        data = np.array(vectors, dtype=float).reshape(len(ids), -1)
+        return pa.RecordBatch.from_arrays([pa.array([ids], schema[0].type), pa.array([data.shape[1]], pa.int32()), pa.array([data.tobytes()], pa.binary())], schema=schema)
 
     def run(batches):
-        best: dict[int, list[tuple[float, int]]] = {i: [] for i in range(len(ids))}
-        for batch in batches:
-            rows = [(r, v) for r, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None]
-            for d, at in dims.items():
-                same = [(r, v) for r, v in rows if len(v) == d]
-                for lo in range(0, len(same), 512):
-                    part = same[lo : lo + 512]
-                    table = distances(matrices[d], np.array([v for _, v in part], dtype=float).reshape(len(part), d))
-                    for i, line in zip(at, table):
-                        best[i] = sorted([*best[i], *zip(line.tolist(), (r for r, _ in part))])[:k]
-        out = [(ids[i], r, x) for i, found in best.items() for x, r in found]
-        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["left_id", "right_id", "distance"])
-
-    return run
-
-
-def near_join(left: DataFrame, left_vector: str, left_id: str, right: DataFrame, right_vector: str, right_id: str, k: int = 20, metric: str = "cosine", block: int = 256) -> DataFrame:
-    """For each left row (a stated query set, taken in blocks) its ``k`` nearest right rows: ids, distance, rank.
-
-    Each task keeps ``k`` rows a query, and only those are exchanged; ties go by the right id.
-    """
-    from pyspark.sql import Window
+        held: dict[int, tuple[list, list]] = {}
+        for b in batches:
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if v is None:
+                    continue
+                ids, vectors = held.setdefault(len(v), ([], []))
+                ids.append(i)
+                vectors.append([math.nan if x is None else x for x in v])
+                if len(ids) == rows:
+                    yield made(*held.pop(len(v)))
+        for ids, vectors in held.values():
+            yield made(ids, vectors)
+
+    return df.select(quoted(key).cast("long"), quoted(vector).cast("array<double>")).mapInArrow(run, BLOCK)
+
+
+def _distances(q, x, metric: str):
+    """Distances of all rows of ``q`` to all of ``x``."""
+    import numpy as np
+
+    if metric == "l2":
+        return ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    dot = (q[:, None, :] * x[None, :, :]).sum(axis=2)
+    if metric == "dot":
+        return -dot
+    norm = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+    return np.where(norm > 0, 1 - dot / np.where(norm > 0, norm, 1), 1.0)
+
 
+def _top_of_pairs(pairs: DataFrame, k: int, metric: str) -> DataFrame:
+    """The ``k`` nearest right rows of each left row, of each pair of blocks ``(ids, dim, data, right_ids, right_data)``."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for ids, dim, data, right, other in zip(*[c.to_pylist() for c in b.columns]):
+                q, x = (np.frombuffer(m).reshape(-1, dim) for m in (data, other))
+                out: tuple[list, list, list] = ([], [], [])
+                right = np.array(right, dtype=np.int64)
+                for lo in range(0, len(q), 32):
+                    for i, line in zip(ids[lo : lo + 32], _distances(q[lo : lo + 32], x, metric)):
+                        order = np.lexsort((right, line))[:k]
+                        order = order[~np.isnan(line[order])]
+                        for c, values in zip(out, ([i] * len(order), right[order].tolist(), line[order].tolist())):
+                            c.extend(values)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["left_id", "right_id", "distance"])
+
+    return pairs.select("ids", "dim", "data", "right_ids", "right_data").mapInArrow(run, NEAR)
+
+
+def near_join(left: DataFrame, left_vector: str, left_id: str, right: DataFrame, right_vector: str, right_id: str, k: int = 20, metric: str = "cosine", block: int = 256, chunk: int = 4096) -> DataFrame:
+    """For each left row (a stated query set) its ``k`` nearest right rows: ids, distance, rank.
+
+    Blocks of queries meet blocks of rows, each pair in one place, and only ``k`` rows a query and pair are
+    exchanged; nothing passes through the driver.  Ties go by the right id; null vectors and vectors of
+    another length have no neighbours.
+    """
     if metric not in METRICS:
         raise QueryError("INVALID_FILTER", f"no metric {metric!r}")
-    side = right.select(quoted(right_id).cast("long").alias("right_id"), quoted(right_vector).cast("array<double>").alias("v"))
-    rows = ((r.i, r.v) for r in left.select(quoted(left_id).cast("long").alias("i"), quoted(left_vector).cast("array<double>").alias("v")).where("v IS NOT NULL").toLocalIterator())
+    rows = _blocks(right, right_vector, right_id, chunk).toDF("right_ids", "right_dim", "right_data")
+    pairs = _blocks(left, left_vector, left_id, block).crossJoin(rows).where("dim = right_dim")
+    return _ranked(_top_of_pairs(pairs, k, metric), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("left_id").orderBy("distance", "right_id")
-    out = None
-    while queries := list(islice(rows, block)):
-        found = side.mapInArrow(_task_top(queries, k, metric), NEAR)
-        out = found if out is None else out.union(found)
-    out = right.sparkSession.createDataFrame([], NEAR) if out is None else out
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _centres(points, k: int, seed: int, rounds: int = 12):
+    """Centres by k-means: distant rows first, then Lloyd's rounds."""
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    k = min(k, len(np.unique(points, axis=0)))
+    found = [points[r.integers(len(points))]]
+    far = ((points - found[0]) ** 2).sum(axis=1)
+    while len(found) < k:
+        found.append(points[r.choice(len(points), p=far / far.sum())])
+        far = np.minimum(far, ((points - found[-1]) ** 2).sum(axis=1))
+    out = np.array(found)
+    for _ in range(rounds):
+        near = _nearest_centre(points, out)
+        for c in range(len(out)):
+            if (own := points[near == c]).size:
+                out[c] = own.mean(axis=0)
+    return out
+
+
+def _nearest_centre(points, centres):
+    return ((centres * centres).sum(axis=1)[None, :] - 2 * points @ centres.T).argmin(axis=1)
+
+
+def _sample(df: DataFrame, column: str, size: int):
+    """At most ``size`` vectors, those of the smallest hashes, all of the most frequent length."""
+    import numpy as np
+
+    rows = df.select(quoted(column).cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)").orderBy(F.xxhash64("v")).limit(size).toArrow().column(0).to_pylist()
+    if not rows:
+        raise QueryError("INVALID_FILTER", "no vectors to fit on")
+    lengths = [len(v) for v in rows]
+    dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
+    return np.array([v for v in rows if len(v) == dim])
+
+
+def clustered(df: DataFrame, column: str, k: int = 20, sample: int = 20_000, seed: int = 1) -> DataFrame:
+    """``df`` with ``_cluster``, the number of the nearest of ``k`` centres; null for a null vector or one of another length.
+
+    The centres are fitted on at most ``sample`` rows; every row is assigned.
+    """
+    centres = _centres(_sample(df, column, sample), k, seed)
+    return _with_codes(df, column, [centres], "_cluster").withColumn("_cluster", F.get("_cluster", F.lit(0)).cast("int"))
+
+
+def _unit(points):
+    """Rows of length 1; rows of zeros stay."""
+    import numpy as np
+
+    norm = np.sqrt((points * points).sum(axis=1, keepdims=True))
+    return points / np.where(norm > 0, norm, 1)
+
+
+def _with_codes(df: DataFrame, column: str, books: list, name: str, unit: bool = False) -> DataFrame:
+    """``df`` with the array of the nearest entries of each book, which cover the vector (at length 1 with ``unit``) one after the other."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, ShortType, StructField, StructType
+
+    kept = df.drop(name)
+    at = kept.columns.index(column)
+    widths = [b.shape[1] for b in books]
+
+    def run(batches):
+        for b in batches:
+            vectors = b.column(at).to_pylist()
+            good = [i for i, v in enumerate(vectors) if v is not None and len(v) == sum(widths) and None not in v]
+            codes: list = [None] * len(vectors)
+            if good:
+                points, lo, parts = np.array([vectors[i] for i in good], dtype=float), 0, []
+                points = _unit(points) if unit else points
+                for book, w in zip(books, widths):
+                    parts.append(_nearest_centre(points[:, lo : lo + w], book))
+                    lo += w
+                for i, c in zip(good, np.array(parts).T.tolist()):
+                    codes[i] = c
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.list_(pa.int16()))], names=[*b.schema.names, name])
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(name, ArrayType(ShortType()))]))
 
 
 class IvfIndex:
-    """Coarse k-means partitions; a search reads the nearest ``probes`` partitions and ranks their rows exactly.
+    """Inverted file with product quantisation, stored as Parquet with one folder for each cell.
 
-    The quantiser is fitted on a sample of at most ``sample`` rows; every row is indexed.
+    A search reads the folders of the nearest ``probes`` cells, orders their rows by the distances of their
+    codes, and ranks the best exactly.  Centres and code books are fitted on a sample of at most
+    ``sample`` rows; every row is indexed, rows without a usable vector under cell -1.  An index is made
+    for one metric: for cosine, cells and codes are those of the vectors at length 1.
     """
 
-    def __init__(self, df: DataFrame, column: str, partitions: int = 16, sample: int = 20_000, seed: int = 1):
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
+    def __init__(self, rows: DataFrame, column: str, centres, books: list, metric: str = "cosine"):
+        self.rows, self.column, self.centres, self.books, self.metric = rows, column, centres, books, metric
+
+    @classmethod
+    def build(cls, df: DataFrame, column: str, path: str, cells: int = 16, subvectors: int = 8, codes: int = 256, sample: int = 20_000, seed: int = 1, metric: str = "cosine") -> "IvfIndex":
+        import json
+
+        import numpy as np
+
+        if metric not in METRICS:
+            raise QueryError("INVALID_FILTER", f"no metric {metric!r}")
+        points, unit = _sample(df, column, sample), metric == "cosine"
+        points = _unit(points) if unit else points
+        centres = _centres(points, cells, seed)
+        books = [_centres(part, codes, seed + 1 + i, 6) for i, part in enumerate(np.array_split(points, min(subvectors, points.shape[1]), axis=1))]
+        coded = _with_codes(_with_codes(df, column, books, "__code", unit), column, [centres], "__cell", unit)
+        coded = coded.withColumn("__cell", F.coalesce(F.get("__cell", F.lit(0)).cast("int"), F.lit(-1)))
+        coded.write.partitionBy("__cell").parquet(f"{path}/rows")
+        about = json.dumps({"column": column, "centres": centres.tolist(), "books": [b.tolist() for b in books], "metric": metric})
+        df.sparkSession.createDataFrame([(about,)], "about string").coalesce(1).write.text(f"{path}/about")
+        return cls.load(df.sparkSession, path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "IvfIndex":
+        import json
+
+        import numpy as np
+
+        about = json.loads(spark.read.text(f"{path}/about", wholetext=True).first()[0])
+        return cls(spark.read.parquet(f"{path}/rows"), about["column"], np.array(about["centres"]), [np.array(b) for b in about["books"]], about["metric"])
+
+    def _placed(self, query):
+        import numpy as np
+
+        if len(query) != self.centres.shape[1]:
+            raise QueryError("INVALID_FILTER", f"the index holds vectors of {self.centres.shape[1]} numbers")
+        q = np.array([query], dtype=float)
+        return (_unit(q) if self.metric == "cosine" else q)[0]
 
-        fit = df.where(quoted(column).isNotNull()).orderBy(F.xxhash64(quoted(column))).limit(sample)
-        model = KMeans(k=partitions, seed=seed, featuresCol="__f").fit(fit.select(array_to_vector(F.transform(quoted(column), lambda x: x.cast("double"))).alias("__f")))
-        self.column, self.centres = column, [list(map(float, c)) for c in model.clusterCenters()]
-        scored = [F.struct(distance(quoted(column), c, "l2").alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)]
-        self.rows = df.where(quoted(column).isNotNull()).withColumn("__cell", F.array_min(F.array(*scored))["i"])
+    def cells(self, query, probes: int) -> list[int]:
+        """The cells of the nearest centres, nearest first."""
+        return sorted(range(len(self.centres)), key=lambda i, q=self._placed(query): (math.dist(self.centres[i], q), i))[:probes]
+
+    def candidates(self, query, probes: int = 12) -> DataFrame:
+        """The rows of the nearest cells; other cells' folders are not read."""
+        return self.rows.where(F.col("__cell").isin(self.cells(query, probes)))
+
+    def search(self, query, k: int = 10, probes: int = 12, again: int = 20) -> DataFrame:
+        """The ``k`` nearest of the probed rows; ``again`` times as many are taken by their codes and ranked exactly."""
+        q, lo, near = self._placed(query), 0, F.lit(0.0)
+        for i, book in enumerate(self.books):
+            part = q[lo : lo + book.shape[1]]
+            lo += book.shape[1]
+            table = -(book @ part) if self.metric == "dot" else ((book - part) ** 2).sum(axis=1)
+            near = near + F.get(F.array(*[F.lit(float(x)) for x in table]), F.get("__code", F.lit(i)).cast("int"))
+        short = self.candidates(query, probes).withColumn("__near", near).orderBy("__near").limit(k * again)
+        return nearest(short.drop("__near", "__cell", "__code"), self.column, query, k, self.metric)
+
+    def join(self, left: DataFrame, left_vector: str, left_id: str, right_id: str, k: int = 20, probes: int = 12, block: int = 256, chunk: int = 4096) -> DataFrame:
+        """``near_join`` against the index: queries meet only the rows of their nearest cells."""
+        queries = _with_cells(left.select(quoted(left_id).cast("long").alias("i"), quoted(left_vector).cast("array<double>").alias("v")), self.centres, probes, self.metric == "cosine")
+        one = _cell_blocks(queries.select(F.explode("cells").alias("cell"), "i", "v"), block)
+        two = _cell_blocks(self.rows.select(F.col("__cell").alias("cell"), quoted(right_id).cast("long").alias("i"), quoted(self.column).cast("array<double>").alias("v")).where("cell >= 0"), chunk).toDF("cell", "right_ids", "right_dim", "right_data")
+        return _ranked(_top_of_pairs(one.join(two, "cell").where("dim = right_dim"), k, self.metric), k)
+
+
+def _with_cells(queries: DataFrame, centres, probes: int, unit: bool) -> DataFrame:
+    """``(i, v)`` with the array ``cells`` of each vector's nearest centres; rows without a usable vector go."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            good = [i for i, v in enumerate(b.column(1).to_pylist()) if v is not None and len(v) == centres.shape[1] and None not in v]
+            rows = b.take(pa.array(good, pa.int64()))
+            q = np.array(rows.column(1).to_pylist(), dtype=float).reshape(len(good), -1) if good else np.zeros((0, centres.shape[1]))
+            near = np.argsort(_distances(_unit(q) if unit else q, centres, "l2"), axis=1, kind="stable")[:, :probes]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=["i", "v", "cells"])
+
+    return queries.mapInArrow(run, "i long, v array<double>, cells array<int>")
+
+
+def _cell_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """``(cell, ids, dim, data)``: blocks of rows of one cell, made in each task."""
+    import numpy as np
+    import pyarrow as pa
+
+    schema = pa.schema([("cell", pa.int32()), ("ids", pa.list_(pa.int64())), ("dim", pa.int32()), ("data", pa.binary())])
+
+    def made(key, ids, vectors):
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([ids], schema[1].type), pa.array([key[1]], pa.int32()), pa.array([np.array(vectors, dtype=float).tobytes()], pa.binary())], schema=schema)
+
+    def run(batches):
+        held: dict[tuple, tuple[list, list]] = {}
+        for b in batches:
+            for cell, i, v in zip(*[c.to_pylist() for c in b.columns]):
+                if v is None or None in v:
+                    continue
+                ids, vectors = held.setdefault((cell, len(v)), ([], []))
+                ids.append(i)
+                vectors.append(v)
+                if len(ids) == size:
+                    yield made((cell, len(v)), *held.pop((cell, len(v))))
+        for key, (ids, vectors) in held.items():
+            yield made(key, ids, vectors)
 
-    def search(self, query, k: int = 10, probes: int = 4, metric: str = "cosine") -> DataFrame:
-        order = sorted(range(len(self.centres)), key=lambda i: math.dist(self.centres[i], query))
-        return nearest(self.rows.where(F.col("__cell").isin(order[:probes])).drop("__cell"), self.column, query, k, metric)
+    return rows.select("cell", "i", "v").mapInArrow(run, f"cell int, {BLOCK}")

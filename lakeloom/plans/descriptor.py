@@ -35,6 +35,8 @@ class Aggregate:
     column: str = "*"
     alias: str | None = None
     fraction: float = 0.5
+    #: column that says which row is the first or the last
+    order: str | None = None
 
     def __post_init__(self):
         if self.fn not in AGGREGATES or (self.column == "*" and self.fn != "count"):

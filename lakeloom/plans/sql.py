@@ -2,7 +2,8 @@
 
 ``col NEAR [..] [TOPK k]``, ``FROM 'path'``, ``SHOW VERSIONS FOR t [LIMIT n]``,
 ``DIFF t VERSION a [AND b] [LIMIT n]``, ``SHOW CHANGES FOR t SINCE VERSION v``,
-``CREATE | DROP | SHOW VECTOR INDEX`` and ``WITH DATA (name = 'path') SELECT``.
+``CREATE | DROP | SHOW VECTOR INDEX``, ``WITH DATA (name = 'path') SELECT``, ``FROM read_csv('path')`` and
+``QUANTILE(x, p)``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from lakeloom.frame import Frame
 
 _NEAR = re.compile(r"\bWHERE\s+(?P<before>.*?\bAND\s+)?(?P<col>[\w.`]+)\s+NEAR\s+\[(?P<vec>[^\]]*)\](?:\s+TOPK\s+(?P<k>\d+))?(?P<after>\s+AND\s+.*?)?(?=\s+(?:GROUP|ORDER|HAVING|LIMIT|OFFSET)\b|\s*;?\s*$)", re.I | re.S)
 _FROM_PATH = re.compile(r"\b(FROM|JOIN)\s+'([^']+)'", re.I)
+#: Table functions that read a file, and the name that Spark has for a quantile.
+_FROM_FILE = re.compile(r"\b(FROM|JOIN)\s+(?:read_\w+|scan_\w+)\s*\(\s*'([^']+)'\s*\)", re.I)
+_QUANTILE = re.compile(r"\b(?:QUANTILE|QUANTILE_CONT|PERCENTILE_CONT)\s*\((?=[^()]*(?:\([^()]*\)[^()]*)*,)", re.I)
 _FROM = re.compile(r"\bFROM\s+([\w.`]+)", re.I)
 _REF = r"(-?\d+|HEAD(?:~\d+)?|CURRENT)"
 
@@ -27,6 +31,16 @@ class Engine:
         self.spark = spark
         self.indexes: dict[str, dict] = {}
         self.versioned: dict[str, object] = {}
+        self.stored: dict[str, object] = {}
+
+    def _index(self, name: str, table: str, column: str, model: str) -> None:
+        """``USING ivf`` stores an inverted file, which NEAR on that column then reads; other models are names only."""
+        self.indexes[name] = {"name": name, "table": table, "column": column, "model": model, "shadow_column": f"__vec_{column}_{model}"}
+        if model.lower() in ("ivf", "ivf_pq"):
+            from lakeloom.operators.vector import IvfIndex
+            from lakeloom.sources.scratch import scratch
+
+            self.stored[name] = IvfIndex.build(self.spark.table(table), column, scratch(self.spark))
 
     def register(self, name: str, source) -> None:
         """A DataFrame, Frame, path or versioned table under a name."""
@@ -50,6 +64,12 @@ class Engine:
 
     def sql(self, text: str, params: list | None = None) -> Frame:
         df = self._statement(text.strip().rstrip(";"), params)
+        # a window without a name of its own is called after its function
+        taken = set(df.columns)
+        for c in df.columns:
+            if (m := re.match(r"(\w+)\(.*\) OVER \(", c, re.S)) and (name := f"{m[1].lower()}_result") not in taken:
+                df = df.withColumnRenamed(c, name)
+                taken.add(name)
         return Frame.of(df, "sql")
 
     def _statement(self, text: str, params) -> DataFrame:
@@ -64,10 +84,12 @@ class Engine:
             t = self._table(m[1])
             return t.row_diff(version_number(t, m[2]), t.latest())
         if m := re.fullmatch(r"CREATE\s+VECTOR\s+INDEX\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)\s+ON\s+(\w+)\s*\((\w+)\)(?:\s+USING\s+(\w+))?", text, re.I):
-            self.indexes[m[1]] = {"name": m[1], "table": m[2], "column": m[3], "model": m[4] or "flat", "shadow_column": f"__vec_{m[3]}_{m[4] or 'flat'}"}
+            if m[1] not in self.indexes:
+                self._index(m[1], m[2], m[3], m[4] or "flat")
             return self._indexes()
         if m := re.fullmatch(r"DROP\s+VECTOR\s+INDEX\s+(?:IF\s+EXISTS\s+)?(\w+)", text, re.I):
             self.indexes.pop(m[1], None)
+            self.stored.pop(m[1], None)
             return self._indexes()
         if re.fullmatch(r"SHOW\s+VECTOR\s+INDEX(?:ES)?(?:\s+ON\s+\w+)?", text, re.I):
             return self._indexes()
@@ -75,6 +97,8 @@ class Engine:
             for name, path in re.findall(r"(\w+)\s*=\s*'([^']+)'", m[1]):
                 self.register(name, path)
             text = text[m.end() :]
+        text = _FROM_FILE.sub(lambda m: f"{m[1]} {self._path_view(m[2])}", text)
+        text = _QUANTILE.sub("percentile(", text)
         text = _FROM_PATH.sub(lambda m: f"{m[1]} {self._path_view(m[2])}", text)
         while m := _NEAR.search(text):
             text = self._near(text, m)
@@ -107,8 +131,10 @@ class Engine:
         name = source[1]
         rest = " AND ".join(x.strip() for x in (re.sub(r"\bAND\s*$", "", m["before"] or "", flags=re.I), re.sub(r"^\s*AND\b", "", m["after"] or "", flags=re.I)) if x.strip())
         vector = [float(x) for x in m["vec"].split(",")]
-        found = Frame.of(self.spark.table(name.replace("`", "")))
-        found = (found.filter(rest) if rest else found).vector(m["col"].split(".")[-1].strip("`"), vector, int(m["k"] or 10))
+        table, column = name.replace("`", ""), m["col"].split(".")[-1].strip("`")
+        index = next((self.stored[n] for n, i in self.indexes.items() if n in self.stored and (i["table"], i["column"]) == (table, column)), None)
+        found = Frame.of(index.candidates(vector).drop("__cell", "__code") if index else self.spark.table(table))
+        found = (found.filter(rest) if rest else found).vector(column, vector, int(m["k"] or 10))
         view = f"near_{abs(hash((name, m.group(0)))):x}"
         found.df.createOrReplaceTempView(view)
         return text[: source.start(1)] + view + text[source.end(1) : m.start()] + text[m.end() :]

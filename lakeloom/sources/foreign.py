@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeloom.errors import QueryError
 from lakeloom.sources.read import filesystem, first_file, from_rows, read_bytes
@@ -43,8 +44,47 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
 # -- Avro ------------------------------------------------------------------------------------------
 
 
+def unsnap(data: bytes) -> bytes:
+    """Snappy block format: the length, then literals and copies."""
+    size = shift = at = 0
+    while True:
+        b = data[at]
+        at += 1
+        size |= (b & 127) << shift
+        shift += 7
+        if b < 128:
+            break
+    out = bytearray()
+    while at < len(data):
+        tag = data[at]
+        at += 1
+        if tag & 3 == 0:
+            n = tag >> 2
+            if n >= 60:
+                wide = n - 59
+                n = int.from_bytes(data[at : at + wide], "little")
+                at += wide
+            out += data[at : at + n + 1]
+            at += n + 1
+            continue
+        if tag & 3 == 1:
+            n, back = (tag >> 2 & 7) + 4, (tag >> 5) << 8 | data[at]
+            at += 1
+        else:
+            wide = 2 if tag & 3 == 2 else 4
+            n, back = (tag >> 2) + 1, int.from_bytes(data[at : at + wide], "little")
+            at += wide
+        if not 0 < back <= len(out):
+            raise QueryError("INVALID_FORMAT", "broken Snappy block")
+        for _ in range(n):  # a copy may read what it writes
+            out.append(out[-back])
+    if len(out) != size:
+        raise QueryError("INVALID_FORMAT", "broken Snappy block")
+    return bytes(out)
+
+
 class AvroFile:
-    """Object container file: codecs null and deflate."""
+    """Object container file: codecs null, deflate, snappy and zstandard."""
 
     def __init__(self, data: bytes):
         self.data, self.at = data, 4
@@ -120,6 +160,12 @@ class AvroFile:
             block, at = data[self.at : self.at + size], self.at + size + 16
             if self.codec == "deflate":
                 block = zlib.decompress(block, -15)
+            elif self.codec == "snappy":  # four bytes of checksum follow
+                block = unsnap(block[:-4])
+            elif self.codec == "zstandard":
+                import zstandard
+
+                block = zstandard.ZstdDecompressor().decompressobj().decompress(block)
             elif self.codec != "null":
                 raise QueryError("INVALID_FORMAT", f"Avro codec {self.codec}")
             self.data, self.at = block, 0
@@ -200,22 +246,50 @@ def read_xlsx(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
 
 
 def read_delta(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """Replay the JSON log: the Parquet files added and not removed up to a version."""
+    """Replay the log from its last checkpoint: the Parquet files added and not removed up to a version.
+
+    A log that begins after version 0 without a checkpoint, and deletion vectors, raise.
+    """
+    from urllib.parse import unquote
+
     fs, p = filesystem(spark, f"{path}/_delta_log")
-    logs = sorted(s.getPath().getName() for s in fs.listStatus(p) if re.fullmatch(r"\d{20}\.json", s.getPath().getName()))
-    live: dict[str, None] = {}
-    for name in logs:
-        if version is not None and int(name[:20]) > version:
-            break
-        for line in read_bytes(spark, f"{path}/_delta_log/{name}").decode().splitlines():
-            action = json.loads(line) if line.strip() else {}
-            if "add" in action:
-                live[action["add"]["path"]] = None
-            if "remove" in action:
-                live.pop(action["remove"]["path"], None)
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    logs = {int(n[:20]): n for n in names if re.fullmatch(r"\d{20}\.json", n)}
+    points: dict[int, list[str]] = {}
+    for n in names:
+        if m := re.fullmatch(r"(\d{20})\.checkpoint(?:\.\d{10}\.(\d{10}))?\.parquet", n):
+            points.setdefault(int(m[1]), []).append(n)
+            if m[2] and int(m[2]) != sum(x.startswith(n[:20] + ".checkpoint.") for x in names):
+                points.pop(int(m[1]), None)
+    last = version if version is not None else max([*logs, *points], default=-1)
+    base = max((v for v in points if v <= last), default=None)
+    live: dict[str, dict] = {}
+    partitions: list[str] = []
+
+    def replay(action: dict) -> None:
+        if add := action.get("add"):
+            if add.get("deletionVector"):
+                raise QueryError("INVALID_FORMAT", "deletion vectors are not supported")
+            live[unquote(add["path"])] = add
+        if remove := action.get("remove"):
+            live.pop(unquote(remove["path"]), None)
+        if meta := action.get("metaData"):
+            partitions[:] = meta.get("partitionColumns") or []
+
+    if base is not None:
+        point = spark.read.parquet(*[f"{path}/_delta_log/{n}" for n in points[base]])
+        wanted = [F.to_json(c).alias(c) for c in ("add", "metaData") if c in point.columns]
+        for row in point.select(*wanted).toLocalIterator():
+            replay({k: json.loads(v) for k, v in row.asDict().items() if v})
+    for v in range(0 if base is None else base + 1, last + 1):
+        if v not in logs:
+            raise QueryError("INVALID_FORMAT", f"the log has no version {v}")
+        for line in read_bytes(spark, f"{path}/_delta_log/{logs[v]}").decode().splitlines():
+            if line.strip():
+                replay(json.loads(line))
     if not live:
         raise QueryError("INVALID_FORMAT", "the table has no files")
-    return spark.read.option("basePath", path).parquet(*[f"{path}/{f}" for f in live])
+    return spark.read.option("basePath", path).parquet(*[f if re.match(r"\w+:/|/", f) else f"{path}/{f}" for f in live])
 
 
 def read_iceberg(spark: SparkSession, path: str, snapshot: int | None = None) -> DataFrame:

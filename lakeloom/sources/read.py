@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import csv as _csv
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.errors import QueryError
@@ -124,12 +125,32 @@ def infer(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header line, quoted fields with doubled quotes and line ends, blank lines dropped, types by ``infer``."""
-    first = spark.read.text(path).where("trim(value) <> ''").first()
+def read_csv(spark: SparkSession, path: str, quote: str = '"', has_header: bool = True, skip_rows: int = 0, sep: str | None = None) -> DataFrame:
+    """Header line, quoted fields with doubled quotes and line ends, blank lines dropped, types by ``infer``.
+
+    Without a header columns are ``column_0`` and on; ``skip_rows`` lines at the start of each file go first.
+    A line with an odd number of quotes means line ends inside fields: only then is a file read by one task.
+    """
+    lines = spark.read.text(path)
+    if skip_rows:
+        # only the rows of a file's first split are numbered
+        placed = lines.select("value", F.input_file_name().alias("f"), F.input_file_block_start().alias("s"), F.monotonically_increasing_id().alias("i"))
+        head = placed.where("s = 0").withColumn("n", F.row_number().over(Window.partitionBy("f").orderBy("i"))).where(F.col("n") > skip_rows)
+        lines = head.select("value").union(placed.where("s > 0").select("value"))
+    first = lines.where("trim(value) <> ''").first()
     if first is None:
         return spark.createDataFrame([], "value string").drop("value")
-    raw = spark.read.csv(path, header=True, sep=delimiter(first.value), quote='"', escape='"', multiLine=True, mode="PERMISSIVE", enforceSchema=False)
+    sep = sep or delimiter(first.value)
+    if skip_rows:
+        names = next(_csv.reader([first.value], delimiter=sep, quotechar=quote))
+        names = [n.strip() for n in names] if has_header else [f"column_{i}" for i in range(len(names))]
+        body = lines.where(F.col("value") != first.value) if has_header else lines
+        parsed = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": sep, "quote": quote, "escape": quote})
+        return infer(body.where("trim(value) <> ''").select(parsed.alias("r")).select("r.*"))
+    broken = not lines.where((F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2 == 1).isEmpty()
+    raw = spark.read.csv(path, multiLine=broken, header=has_header, sep=sep, quote=quote, escape=quote, mode="PERMISSIVE", enforceSchema=False)
+    if not has_header:
+        raw = raw.toDF(*[f"column_{i}" for i in range(len(raw.columns))])
     return infer(raw.dropna("all") if raw.columns else raw)
 
 
@@ -186,14 +207,22 @@ def from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(value(r.get(n), kinds[n]) for n in names) for r in rows], schema)
 
 
+#: The demonstration table is a design of this engine: shipments by port and cargo.
+PORTS = ("aden", "bergen", "callao", "dakar", "eilat", "fremantle")
+CARGO = ("grain", "steel", "timber", "cotton", "salt")
+
+
 def demo(spark: SparkSession, n: int = 1000, seed: int = 42) -> DataFrame:
-    """A small deterministic table: id, region, category, amount, created_at."""
-    x = F.xxhash64(F.lit(seed), F.col("id"))
-    pick = lambda names, salt: F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64(F.lit(salt), x), F.lit(len(names))) + 1).cast("int"))
-    return spark.range(n).select(
+    """A small table of n rows, the same each time: id, region, category, amount, created_at.
+
+    Row i follows from x = (i * 7919 + seed * 104729) % 1000003, so any SQL engine can make it too.
+    """
+    x = F.pmod(F.col("id") * 7919 + F.lit(seed) * 104729, F.lit(1_000_003))
+    pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (F.pmod(c, F.lit(len(names))) + 1).cast("int"))
+    return spark.range(1, n + 1).select(
         "id",
-        pick(["us", "eu", "asia", "africa", "oceania", "latam"], 1).alias("region"),
-        pick(["books", "games", "music", "tools", "food"], 2).alias("category"),
-        (F.pmod(F.xxhash64(F.lit(3), x), F.lit(10_000)) / 100).alias("amount"),
-        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(x, F.lit(365)).cast("int")), "yyyy-MM-dd").alias("created_at"),
+        pick(PORTS, x).alias("region"),
+        pick(CARGO, F.floor(x / 7)).alias("category"),
+        (F.pmod(x, F.lit(50_000)) / 100).alias("amount"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.floor(x / 11), F.lit(366)).cast("int")), "yyyy-MM-dd").alias("created_at"),
     )
