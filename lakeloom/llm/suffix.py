@@ -2,13 +2,16 @@
 
 Any string of ``length`` bytes contains a window of ``ANCHOR`` bytes whose hash is smallest; equal
 strings have it at the same place.  So only suffixes at such anchors need sorting: neighbouring starts
-with one anchor make a *stretch*, keyed by the bytes from the anchor on and then the bytes before it.  Each task sorts the keys of its slices to front-coded runs, the runs are exchanged by key
+with one anchor make a *stretch*, keyed by the anchor's hash, the bytes from the anchor on and then the
+bytes before it.  Each task sorts the keys of its slices to front-coded runs, the runs are exchanged by key
 range, and a loser tree merges them; it keeps the common prefix of every contender with the last
-winner, so bytes known to agree are never compared again.
+winner, so bytes known to agree are never compared again.  As keys begin with a hash, ranges of equal
+width are even, no key is sampled, and an anchor lies in one range.
 
-Equal stretches are repeated as a whole.  Different stretches of one anchor are compared start by
-start, but only at starts that the neighbours' common prefixes leave possible.  Anchors at the edge of
-a key range may go on in the next one: their starts are compared by digest in a second exchange.
+Equal stretches are repeated as a whole; those that a run holds many times are settled there, and one of
+them goes on.  Different stretches of one anchor are compared start by start, but only at starts that the
+neighbours' common prefixes leave possible.  Of an anchor with very many stretches these starts are
+compared by digest in a second exchange, so that no task holds them together.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ LENGTH = 200
 ANCHOR = 24
 #: Text that one sorted run covers (about 100 bytes a stretch), and bytes of text for each key range.
 RUN_BYTES, RANGE_BYTES = 16 << 20, 8 << 20
+#: Distinct stretches of one anchor that a task compares; those of a more frequent anchor meet by digest.
+HOT_KEYS = 5_000
 #: A longer text is cut into chunks of so many starts.
 CHUNK = 1 << 22
 _POS = np.uint64((1 << 24) - 1)
@@ -66,8 +71,8 @@ def anchor_hashes(data: np.ndarray, width: int) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def stretches(data: bytes, length: int = LENGTH, width: int = ANCHOR) -> Iterator[tuple[int, int, int]]:
-    """(anchor, first start, last start) of each stretch; every start of a ``length``-byte string is in exactly one."""
+def stretches(data: bytes, length: int = LENGTH, width: int = ANCHOR) -> Iterator[tuple[int, int, int, int]]:
+    """(anchor, first start, last start, 32 bits of the anchor's hash) of each stretch; every start of a ``length``-byte string is in exactly one."""
     starts = len(data) - length + 1
     for base in range(0, starts, CHUNK):
         part = np.frombuffer(data, dtype=np.uint8)[base : min(base + CHUNK, starts) + length - 1]
@@ -83,19 +88,25 @@ def stretches(data: bytes, length: int = LENGTH, width: int = ANCHOR) -> Iterato
         at = (window & _POS).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(at) - 1]])
-        yield from zip((at[first] + base).tolist(), (first + base).tolist(), (last + base).tolist())
+        # the smallest hashes are small; mixed once more their upper bits are even
+        mixed = (h[at[first]] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        yield from zip((at[first] + base).tolist(), (first + base).tolist(), (last + base).tolist(), mixed.tolist())
 
 
-def key_of(data: bytes, anchor: int, first: int, last: int, length: int = LENGTH) -> bytes:
-    """Bytes from the anchor on, then the bytes before it, then both lengths."""
+#: Bytes of the hash at the head of a key.
+HASH = 4
+
+
+def key_of(data: bytes, anchor: int, first: int, last: int, mixed: int, length: int = LENGTH) -> bytes:
+    """Hash of the anchor, bytes from the anchor on, then the bytes before it, then both lengths."""
     before, after = anchor - first, last + length - anchor
-    return data[anchor : last + length] + data[first:anchor] + before.to_bytes(2) + after.to_bytes(2)
+    return mixed.to_bytes(HASH) + data[anchor : last + length] + data[first:anchor] + before.to_bytes(2) + after.to_bytes(2)
 
 
 def parts_of(key: bytes) -> tuple[bytes, bytes]:
     """The bytes before and from the anchor on."""
     before, after = int.from_bytes(key[-4:-2]), int.from_bytes(key[-2:])
-    return key[after : after + before], key[:after]
+    return key[HASH + after : HASH + after + before], key[HASH : HASH + after]
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -115,30 +126,30 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
 # -- front-coded runs ---------------------------------------------------------------------------
 
 
-def write_run(entries: list[tuple[bytes, int, int, int]]) -> bytes:
-    """A sorted run of (key, text number, first start, last start), each key without the prefix that it shares with the one before."""
+def write_run(entries: list[tuple[bytes, int, int, int, int]]) -> bytes:
+    """A sorted run of (key, text number, first start, last start, 1 if it stands for several), each key without the prefix that it shares with the one before."""
     keys = [e[0] for e in entries]
     shared = [0, *map(common_prefix, keys, keys[1:])]
     tails = [k[n:] for k, n in zip(keys, shared)]
-    numbers = np.array([shared, list(map(len, tails)), *([e[i] for e in entries] for i in (1, 2, 3))], dtype="<i8")
+    numbers = np.array([shared, list(map(len, tails)), *([e[i] for e in entries] for i in (1, 2, 3, 4))], dtype="<i8")
     pack = zstandard.ZstdCompressor(level=5).compress
-    head = pack(numbers.view(np.uint8).reshape(5, -1, 8).transpose(0, 2, 1).tobytes())  # equal bytes of a column side by side
+    head = pack(numbers.view(np.uint8).reshape(6, -1, 8).transpose(0, 2, 1).tobytes())  # equal bytes of a column side by side
     return len(entries).to_bytes(4) + len(head).to_bytes(4) + head + pack(b"".join(tails))
 
 
-def read_run(blob: bytes) -> Iterator[tuple[int, bytes, int, int, int]]:
-    """(prefix shared with the entry before, rest of the key, text number, first start, last start) in key order."""
+def read_run(blob: bytes) -> Iterator[tuple[int, bytes, int, int, int, int]]:
+    """(prefix shared with the entry before, rest of the key, text number, first start, last start, several) in key order."""
     n, size = int.from_bytes(blob[:4]), int.from_bytes(blob[4:8])
     unpack = zstandard.ZstdDecompressor().decompress
-    head = np.frombuffer(unpack(blob[8 : 8 + size]), dtype=np.uint8).reshape(5, 8, n).transpose(0, 2, 1)
+    head = np.frombuffer(unpack(blob[8 : 8 + size]), dtype=np.uint8).reshape(6, 8, n).transpose(0, 2, 1)
     tails, at = unpack(blob[8 + size :]), 0
-    for s, k, d, f, l in zip(*np.ascontiguousarray(head).view("<i8").reshape(5, n).tolist()):
-        yield s, tails[at : at + k], d, f, l
+    for s, k, d, f, l, m in zip(*np.ascontiguousarray(head).view("<i8").reshape(6, n).tolist()):
+        yield s, tails[at : at + k], d, f, l, m
         at += k
 
 
 class LoserTree:
-    """Merge of front-coded runs: yields (common prefix with the entry before, key, document, first start, last start).
+    """Merge of front-coded runs: yields (common prefix with the entry before, key, document, first start, last start, several).
 
     A contender is [prefix shared with the last winner, key, source, payload].  Of two contenders the
     one with the longer shared prefix is smaller; only at equal prefixes are bytes compared, from there on.
@@ -229,140 +240,148 @@ def repeated_starts(keys: list[bytes], reach: list[int], length: int) -> list[li
 SPANS = "doc long, lo long, hi long, digest binary"
 
 
-def merge_range(runs: list[bytes], length: int = LENGTH, width: int = ANCHOR) -> Iterator[tuple]:
+def merge_range(runs: list[bytes], length: int = LENGTH, width: int = ANCHOR, hot_keys: int = HOT_KEYS) -> Iterator[tuple]:
     """Rows of ``SPANS`` from the runs of one key range.
 
-    Covered bytes [lo, hi) of a text have a null digest; rows with a digest are starts of the range's
-    first and last anchor, to be compared with other ranges.
+    Covered bytes [lo, hi) of a text have a null digest; rows with a digest are starts of anchors with
+    over ``hot_keys`` distinct stretches, to be compared with each other.  Besides these stretches, of
+    which it holds ``hot_keys`` at most, a merge holds one entry of each run.
     """
-    group: list[list] = []  # [key, bytes shared with the key before, number of places, distinct (text, first, last)]
-    opening = True
-
-    def close(edge: bool):
-        for _, _, places, distinct in group:
-            if places > 1:
-                for doc, first, last in distinct:
-                    yield doc, first, last + length, None
-        if edge:
-            for key, _, _, distinct in group:
-                before, after = parts_of(key)
-                doc, first, last = next(iter(distinct))
-                for start in range(first, last + 1):
-                    d = len(before) - (start - first)
-                    text = before[len(before) - d :] + after[: length - d]
-                    yield doc, start, start + length, hashlib.blake2b(text, digest_size=16).digest()
+    group: list[list] = []  # [key, bytes shared with the key before, number of places, text, first, last]
+    hot = False  # this anchor's starts go by digest
+
+    def begins(key, first, distances):
+        return sorted(first + int.from_bytes(key[-4:-2]) - d for d in distances)
+
+    def reaches(next_shared: int) -> list[int]:
+        """Bytes from the anchor on that each key shares with a neighbour."""
+        near = [*[g[1] for g in group], next_shared]
+        return [max(near[i], near[i + 1]) - HASH for i in range(len(group))]
+
+    def by_digest(keys: list[list], reach: list[int]):
+        for (key, _, _, doc, first, _), r in zip(keys, reach):
+            before, after = parts_of(key)
+            lo, hi = possible(r, len(before), len(after), length)
+            for d in range(lo, hi + 1):
+                text = before[len(before) - d :] + after[: length - d]
+                start = first + len(before) - d
+                yield doc, start, start + length, hashlib.blake2b(text, digest_size=16).digest()
+
+    def close():
+        if hot:
+            yield from by_digest(group, reaches(0))
             return
         if len(group) < 2 or all(g[2] > 1 for g in group):
             return
-        # of all keys the neighbours share most with a key
-        near = [0, *[g[1] for g in group[1:]], 0]
-        reach = [max(near[i], near[i + 1]) for i in range(len(group))]
-        for (key, _, places, distinct), hits in zip(group, repeated_starts([g[0] for g in group], reach, length)):
+        for (key, _, places, doc, first, _), hits in zip(group, repeated_starts([g[0] for g in group], reaches(0), length)):
             if places == 1 and hits:
-                ((doc, first, _),) = distinct
-                begins = sorted(first + int.from_bytes(key[-4:-2]) - d for d in hits)
-                start = stop = begins[0]
-                for b in begins[1:]:
+                starts = begins(key, first, hits)
+                start = stop = starts[0]
+                for b in starts[1:]:
                     if b > stop + length:
                         yield doc, start, stop + length, None
                         start = b
                     stop = b
                 yield doc, start, stop + length, None
 
-    for shared, key, doc, first, last in LoserTree(runs):
-        if group and shared >= width:
-            if shared == len(key) == len(group[-1][0]):
-                group[-1][2] += 1
-                group[-1][3].add((doc, first, last))
-            else:
-                group.append([key, shared, 1, {(doc, first, last)}])
-            continue
-        if group:
-            yield from close(opening)
-            opening = False
-        group = [[key, 0, 1, {(doc, first, last)}]]
+    for shared, key, doc, first, last, several in LoserTree(runs):
+        if group and shared >= HASH + width:
+            own = group[-1]
+            if shared == len(key) == len(own[0]):
+                if own[2] == 1:
+                    yield own[3], own[4], own[5] + length, None
+                own[2] += 1
+                yield doc, first, last + length, None
+                continue
+            if len(group) >= hot_keys:
+                hot = True
+                yield from by_digest(group[:-1], reaches(shared)[:-1])
+                del group[:-1]
+        elif group:
+            yield from close()
+            group, hot, shared = [], False, 0
+        group.append([key, shared, 1 + several, doc, first, last])
     if group:
-        yield from close(True)
+        yield from close()
 
 
 # -- Spark --------------------------------------------------------------------------------------
 
 
-def _splitters(source: DataFrame, ranges: int, per_range: int, length: int, width: int) -> list[bytes]:
-    """Keys that cut the key space in about equal ranges, from some of the texts (they only balance the work).
-
-    About sixteen keys for each range come to the driver, equal ones once.
-    """
-    if ranges < 2:
-        return []
-    rate = max(1, per_range // (16 * 16 * (length - width) // 2))
+#: Heads of rows that are not runs: the texts of a task, and bytes that are known to be covered.
+_NAMES, _SPANS = b"\xff\xff\xff\xff", b"\xff\xff\xff\xfe"
 
-    def run(batches):
-        keys = []
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for at, first, last in stretches(text, length, width):
-                    if zlib.crc32(text[at : at + length]) % rate == 0:
-                        keys.append(key_of(text, at, first, last, length)[: length - width])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
 
-    sampled = source.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 5).select("text").mapInArrow(run, "key binary")
-    keys = sorted(bytes(r.key) for r in sampled.distinct().collect())
-    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+def _bounds(ranges: int) -> list[bytes]:
+    """Heads of keys that cut the hashes in ranges of equal width."""
+    return [(-(-(i << 8 * HASH) // ranges)).to_bytes(HASH) for i in range(1, ranges)]
 
 
-#: Head of a row that names the texts of a task, not a run.
-_NAMES = b"\xff\xff\xff\xff"
+def _settled(entries: list[tuple[bytes, int, int, int]], length: int) -> tuple[list[tuple], np.ndarray]:
+    """One entry of each key of a sorted run, with 1 if it stands for several, and the bytes that several cover: (text, lo, hi)."""
+    kept, covered, i = [], [], 0
+    while i < len(entries):
+        j = i + 1
+        while j < len(entries) and entries[j][0] == entries[i][0]:
+            j += 1
+        kept.append((*entries[i], int(j > i + 1)))
+        if j > i + 1:
+            covered += [(doc, first, last + length) for _, doc, first, last in entries[i:j]]
+        i = j
+    return kept, np.array(covered, dtype="<i8").reshape(-1, 3)
 
 
-def _runs(source: DataFrame, cuts: list[bytes], length: int, width: int, run_bytes: int) -> DataFrame:
+def _runs(source: DataFrame, ranges: int, length: int, width: int, run_bytes: int) -> DataFrame:
     """Rows ``(range, run)``: the sorted, front-coded stretches of each slice of texts, by key range.
 
-    Texts are numbered by task and place; each task also sends the digests of its texts, to some range.
+    Texts are numbered by task and place; each task also sends the digests of its texts, and what its
+    own repeated stretches cover, to some range.
     """
-    sent = source.sparkSession.sparkContext.broadcast(cuts)
     schema = pa.schema([("range", pa.int32()), ("run", pa.binary())])
 
     def row(number, blob):
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([blob], pa.binary())], schema=schema)
 
-    def flush(entries, names, first_name):
+    def flush(entries, names, first_name, heads):
         entries.sort()
-        bounds = [bisect_left(entries, (c,)) for c in sent.value]
+        kept, covered = _settled(entries, length)
+        entries.clear()
         lo = 0
-        for number, hi in enumerate([*bounds, len(entries)]):
+        for number, hi in enumerate([*[bisect_left(kept, (c,)) for c in heads], len(kept)]):
             if hi > lo:
-                yield row(number, write_run(entries[lo:hi]))
+                yield row(number, write_run(kept[lo:hi]))
             lo = hi
-        yield row(first_name % (len(bounds) + 1), _NAMES + first_name.to_bytes(8) + b"".join(names))
-        entries.clear()
+        some = zlib.crc32(first_name.to_bytes(8)) % ranges
+        yield row(some, _NAMES + first_name.to_bytes(8) + b"".join(names))
+        if len(covered):
+            yield row(some, _SPANS + zstandard.ZstdCompressor(level=3).compress(covered.tobytes()))
 
     def run(batches):
-        entries, names = [], []
+        entries, names, heads = [], [], _bounds(ranges)
         number = first_name = TaskContext.get().partitionId() << 40
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 names.append(hashlib.md5(text).digest())
-                for at, first, last in stretches(text, length, width):
-                    entries.append((key_of(text, at, first, last, length), number, first, last))
+                for at, first, last, mixed in stretches(text, length, width):
+                    entries.append((key_of(text, at, first, last, mixed, length), number, first, last))
                 number += 1
                 if len(entries) * 100 >= run_bytes:
-                    yield from flush(entries, names, first_name)
+                    yield from flush(entries, names, first_name, heads)
                     names, first_name = [], number
         if names:
-            yield from flush(entries, names, first_name)
+            yield from flush(entries, names, first_name, heads)
 
     return source.select("text").mapInArrow(run, "range int, run binary")
 
 
-def repeated_spans(source: DataFrame, length: int = LENGTH, width: int = ANCHOR, range_bytes: int = RANGE_BYTES, run_bytes: int = RUN_BYTES) -> DataFrame:
+def repeated_spans(source: DataFrame, length: int = LENGTH, width: int = ANCHOR, range_bytes: int = RANGE_BYTES, run_bytes: int = RUN_BYTES, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Rows ``(doc, spans)`` for the texts of ``source(text binary)`` that hold repeated strings: spans cover them, possibly overlapping.
 
     ``doc`` is the MD5 digest of a text; equal texts have equal spans.
     """
     long_ = source.where(F.octet_length("text") >= length)
     total = long_.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    cuts = _splitters(long_, -(-total // range_bytes), range_bytes, length, width)
+    ranges = max(1, -(-total // range_bytes))
     arrow = pa.schema([("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("digest", pa.binary())])
 
     def merge(table: pa.Table) -> pa.Table:
@@ -374,15 +393,19 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, width: int = ANCHOR,
                 for i in range(len(names) // 16):
                     for c, x in zip(columns, (first + i, -1, -1, names[16 * i : 16 * i + 16])):
                         c.append(x)
-        for row in merge_range([b for b in blobs if b[:4] != _NAMES], length, width):
+            elif blob[:4] == _SPANS:
+                found = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), dtype="<i8").reshape(-1, 3)
+                for c, x in zip(columns, (*found.T.tolist(), [None] * len(found))):
+                    c.extend(x)
+        for row in merge_range([b for b in blobs if b[:4] not in (_NAMES, _SPANS)], length, width, hot_keys):
             for c, x in zip(columns, row):
                 c.append(x)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    rows = cut_lineage(_runs(long_, cuts, length, width, run_bytes).groupBy("range").applyInArrow(merge, SPANS))
+    rows = cut_lineage(_runs(long_, ranges, length, width, run_bytes).groupBy("range").applyInArrow(merge, SPANS))
     # of equal texts one number is enough: their spans are equal
     names = rows.where("lo < 0").groupBy(F.col("digest").alias("name")).agg(F.min("doc").alias("doc"))
-    edges = rows.where("lo >= 0 AND digest IS NOT NULL")
+    edges = rows.where("lo >= 0 AND digest IS NOT NULL")  # starts of frequent anchors
     again = edges.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     covered = rows.where("lo >= 0 AND digest IS NULL").select("doc", "lo", "hi").union(edges.join(again, "digest", "left_semi").select("doc", "lo", "hi"))
     spans = covered.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))

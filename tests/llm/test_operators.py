@@ -421,7 +421,7 @@ def brute_spans(texts, length):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"range_bytes": 4000, "run_bytes": 2500}])
+@pytest.mark.parametrize("sizes", [{}, {"range_bytes": 4000, "run_bytes": 2500}, {"hot_keys": 2, "run_bytes": 2500}, {"hot_keys": 1, "range_bytes": 4000, "run_bytes": 100}])
 def test_suffix_against_brute_force(spark, sizes):
     r = random.Random(5)
     rand = lambda n: "".join(r.choice("abcdéfgh ") for _ in range(n))
@@ -444,6 +444,8 @@ def test_suffix_against_brute_force(spark, sizes):
             texts.append("")
         else:
             texts.append(rand(r.randint(1, 600)))
+    passage = base[0][:30] + rand(150)  # in many texts, with other texts around it
+    texts += [rand(r.randint(0, 90)) + passage + r.choice(["", rand(60), base[1][:40]]) + rand(r.randint(0, 90)) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.remove_repeats(df, **sizes).collect()}
     assert got == dict(enumerate(brute_spans([t.encode() for t in texts], 200)))
@@ -455,7 +457,7 @@ def test_loser_tree_merges():
     for n in (1, 2, 3, 7):
         runs = [[] for _ in range(n)]
         for k in keys:
-            runs[r.randrange(n)].append((k, 5 << 40, 0, 0))
+            runs[r.randrange(n)].append((k, 5 << 40, 0, 0, 0))
         last = b""
         merged = []
         for shared, key, *_ in suffix.LoserTree([suffix.write_run(x) for x in runs if x]):
