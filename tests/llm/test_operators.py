@@ -891,10 +891,21 @@ def test_warc_against_a_plain_reading(spark):
         assert ["sourcePayloadDigest", warc.digest((p.html or "").encode())] in facts
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, SF).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall(), key=lambda r: r[0])
+
+
 def test_every_query_is_registered(spark):
     import __spark_entry__
 
     made = __spark_entry__.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(made)
-    assert sorted({int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES}) == list(range(1, 11))
+    assert sorted(int(m[1]) for k in queries.QUERIES if (m := re.match(r"op(\d+)_", k))) == list(range(1, 11))
     json.dumps(__spark_entry__.oracle_sql())
