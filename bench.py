@@ -15,8 +15,14 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from lakeloom.queries import queries  # noqa: E402
-
+from lakeloom.queries import Tables, queries  # noqa: E402
+
+# Shapes of the baseline at the size of lineitem: a join with orders, a sum by key, a window over all lines.
+LARGE = {
+    "join_orders_lineitem": "SELECT l_orderkey, l_linenumber, l_extendedprice, o_custkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "group_by_lineitem": "SELECT l_suppkey, sum(l_extendedprice) AS total, count(*) AS n FROM lineitem GROUP BY l_suppkey",
+    "window_lineitem": "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS rn FROM lineitem",
+}
 HEADLINE = ("filter_range_ops", "group_by_agg", "pricing_summary", "join_inner", "join_multiway", "sort_external", "topk", "win_row_number", "distinct", "agg_count_distinct", "vector_topk_cosine")
 RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 
@@ -36,7 +42,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     made, times = queries(), {}
-    for name in HEADLINE:
+    made |= {name: lambda spark, d, text=text: Tables(spark, d).sql(text).df for name, text in LARGE.items()}
+    for name in (*HEADLINE, *LARGE):
         runs = []
         for i in range(RUNS + 1):
             start = time.perf_counter()
