@@ -395,6 +395,12 @@ class Frame:
         return "[" + ",".join(self.df.toJSON().toLocalIterator()) + "]"
 
     def write(self, path: str, fmt: str = "parquet", partition_by=(), mode: str = "error", **options) -> None:
+        """A format of Spark's, or ``arrow``, ``avro``, ``xlsx``, ``delta`` or ``iceberg``, which take no mode: files are new, tables grow."""
+        if fmt in ("arrow", "avro", "xlsx", "delta", "iceberg"):
+            from lakeloom.sources import write as writers
+
+            getattr(writers, f"write_{fmt}")(self.df, path, **options)
+            return
         writer = self.df.write.mode(mode).format(fmt).options(**options)
         (writer.partitionBy(*columns(partition_by)) if partition_by else writer).save(path)
 
