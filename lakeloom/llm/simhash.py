@@ -105,7 +105,7 @@ def _keys(groups: DataFrame, near: bool) -> DataFrame:
         at = np.concatenate(at)
         yield {"key": np.concatenate(keys)} | {n: np.array(x, dtype=np.int64)[at] for n, x in (("fp", fps), ("rep", reps), ("component", components))}
 
-    return arrow_rows(groups.select("fp", "rep", "component"), rows, "key long, fp long, rep long, component long", slice_bytes=160_000)
+    return arrow_rows(groups.select("fp", "rep", "component"), rows, "key long, fp long, rep long, component long", slice_bytes=40_000)
 
 
 def _table(x: str) -> str:
