@@ -140,8 +140,10 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
     rest = x.join(y, apart & _can_link(F.col("x.size"), F.col("x.at"), F.col("y.size"), F.col("y.at"), similarity))
     rest = cut_lineage(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-    links = links.union(verified(rest))
-    component = connected_components(links).withColumnRenamed("v", "rep")
+    if not rest.isEmpty():
+        more = verified(rest)
+        if not more.isEmpty():
+            component = connected_components(links.union(more)).withColumnRenamed("v", "rep")
     top = exact.join(component, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     return marked.select("doc_id", "k1", "k2").join(top, ["k1", "k2"]).select("doc_id", "component_id")
 
