@@ -36,6 +36,8 @@ ANCHOR = 24
 RUN_BYTES, RANGE_BYTES = 16 << 20, 8 << 20
 #: Distinct stretches of one anchor that a task compares; those of a more frequent anchor meet by digest.
 HOT_KEYS = 5_000
+#: Tasks of the merge at most; beyond, a task merges several ranges, one after the other.
+MAX_TASKS = 100_000
 #: A longer text is cut into chunks of so many starts.
 CHUNK = 1 << 22
 _POS = np.uint64((1 << 24) - 1)
@@ -402,7 +404,9 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, width: int = ANCHOR,
                 c.append(x)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    rows = cut_lineage(_runs(long_, ranges, length, width, run_bytes).groupBy("range").applyInArrow(merge, SPANS))
+    # about one range a task, however many there are
+    runs = _runs(long_, ranges, length, width, run_bytes).repartition(min(ranges, MAX_TASKS), "range")
+    rows = cut_lineage(runs.groupBy("range").applyInArrow(merge, SPANS))
     # of equal texts one number is enough: their spans are equal
     names = rows.where("lo < 0").groupBy(F.col("digest").alias("name")).agg(F.min("doc").alias("doc"))
     edges = rows.where("lo >= 0 AND digest IS NOT NULL")  # starts of frequent anchors
