@@ -227,7 +227,8 @@ def secret_scan(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text
     an empty table gives no rows; other columns are ignored, whatever their names.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    each = scored(source, "text", "found", "tail").select("doc_id", F.explode("found").alias("f"))
+    # an outer explode: for another the optimiser would put a filter on the candidates, and all their work once more, at the scan
+    each = scored(source, "text", "found", "tail").select("doc_id", F.explode_outer("found").alias("f")).where("f IS NOT NULL")
     return each.select("doc_id", F.col("f.start").cast("long").alias("start"), F.length("f.value").cast("long").alias("length"), F.col("f.score").alias("score"), (F.col("f.score") >= threshold).alias("is_secret"), F.sha2("f.value", 256).alias("secret_sha256"))
 
 
