@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -38,12 +39,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_rows(df: DataFrame, rows: Callable[..., Iterator[dict]], schema: str, slice_bytes: int = 4 << 20, sized: str | None = None) -> DataFrame:
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, whose task ends by giving the memory it freed back to the system.
+
+    Python workers stay for later tasks and stages, and what their allocators keep would count beside the JVM's.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
+def arrow_rows(df: DataFrame, rows: Callable[..., Iterator[dict]], schema: str, slice_bytes: int = 4 << 20, sized: str | None = None, give_back: bool = False) -> DataFrame:
     """``mapInArrow`` where ``rows(columns) -> dict of lists`` sees slices of bounded bytes.
 
     ``columns`` holds one Python list per input column.  A slice ends once its bytes reach
     ``slice_bytes``, so one long text never drags others into memory with it; only the slice's values
     become Python objects.  ``sized`` names the column that counts, the first of strings or bytes by itself.
+    ``give_back`` is for large slices: see ``giving_back``.
     """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,7 +75,7 @@ def arrow_rows(df: DataFrame, rows: Callable[..., Iterator[dict]], schema: str,
                 for out in rows(*[c.to_pylist() for c in part.columns]):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run) if give_back else run, schema)
 
 
 def _slices(batch: pa.RecordBatch, slice_bytes: int, sized: str | None) -> Iterator[tuple[int, int]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut_lineage, remainder, slices
+from lakeloom.llm.common import cut_lineage, giving_back, remainder, slices
 
 ORDER = 4
 #: One training document of so many calibrates the rejection.
@@ -120,7 +120,7 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
             yield batch(name, counted)
 
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), _calibrates(text).alias("calibrates"), F.col(text).cast("string").alias("text"))
-    part = rows.mapInArrow(run, "lang string, calibrates boolean, gram long, n long")
+    part = rows.mapInArrow(giving_back(run), "lang string, calibrates boolean, gram long, n long")
     return part.groupBy("lang", "calibrates", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -312,25 +312,26 @@ def calibrate(langs: list[str], loose: Limits, rows: list) -> Limits:
     return out
 
 
-def _calibration(scored: DataFrame, langs: list[str]) -> list:
-    """Rows for ``calibrate`` from ``(lang, h array, n)`` of texts; a few thousand for each language at most."""
+def _binned(lang: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows ``(lang, own, size, bin)`` of texts of entropies ``h`` over ``n`` characters: in their own language, and in the nearest other one."""
+    size = np.floor(2 * np.log2(np.maximum(n, 1))).astype(np.int32)
+    at = np.arange(len(lang))
+    left = h.copy()
+    left[at, lang] = np.inf
+    near = left.argmin(axis=1)
+    parts = [(lang, 1, h[at, lang]), *([(near, 0, left[at, near])] if h.shape[1] > 1 else [])]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([np.asarray(x, dtype=np.int32) for x, _, _ in parts])), pa.array(np.repeat([o for _, o, _ in parts], len(lang)).astype(np.int32)), pa.array(np.tile(size, len(parts))), pa.array(np.floor(np.concatenate([e for _, _, e in parts]) / BIN).astype(np.int32))],
+        names=["lang", "own", "size", "bin"],
+    )
 
-    def run(batches):
-        for b in batches:
-            lang = b.column(0).to_numpy(zero_copy_only=False)
-            h = np.array(b.column(1).to_pylist(), dtype=float).reshape(len(lang), len(langs))
-            size = np.floor(2 * np.log2(np.maximum(b.column(2).to_numpy(zero_copy_only=False), 1))).astype(np.int32)
-            at = np.arange(len(lang))
-            left = h.copy()
-            left[at, lang] = np.inf
-            near = left.argmin(axis=1)
-            parts = [(lang, 1, h[at, lang]), *([(near, 0, left[at, near])] if len(langs) > 1 else [])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.asarray(x, dtype=np.int32) for x, _, _ in parts])), pa.array(np.repeat([o for _, o, _ in parts], len(lang)).astype(np.int32)), pa.array(np.tile(size, len(parts))), pa.array(np.floor(np.concatenate([e for _, _, e in parts]) / BIN).astype(np.int32))],
-                names=["lang", "own", "size", "bin"],
-            )
-
-    return scored.mapInArrow(run, "lang int, own int, size int, bin int").groupBy("lang", "own", "size", "bin").agg(F.count("*").alias("n")).collect()
+
+BINNED = "lang int, own int, size int, bin int"
+
+
+def _calibration(binned: DataFrame) -> list:
+    """Rows for ``calibrate`` from those of ``_binned``; a few thousand for each language at most."""
+    return binned.groupBy("lang", "own", "size", "bin").agg(F.count("*").alias("n")).collect()
 
 
 class StoredModel:
@@ -437,6 +438,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", broadcast_row
         first = StoredModel(langs, part if not (part := counted.where("NOT calibrates")).isEmpty() else counted)
         name = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
         scored = rest.withColumn("name", name).join(first.entropies(rest), "name").select("lang", "h", F.col("size").alias("n"))
+
+        def run(batches):
+            for b in batches:
+                h = np.array(b.column(1).to_pylist(), dtype=float).reshape(b.num_rows, len(langs))
+                yield _binned(b.column(0).to_numpy(zero_copy_only=False), h, b.column(2).to_numpy(zero_copy_only=False))
+
+        binned = scored.mapInArrow(run, BINNED)
         model = StoredModel(langs, counted)
     else:
         grams = counted.toArrow()
@@ -448,15 +456,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", broadcast_row
 
         def run(batches):
             for b in batches:
-                lang_, texts = b.column(0), b.column(1).to_pylist()
+                codes, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
                 for lo, hi in slices([texts], len(texts), SLICE):
                     h, size, _ = sent.value.entropies(texts[lo:hi])
                     use = np.flatnonzero(size > 0)
-                    yield pa.RecordBatch.from_arrays([lang_.slice(lo, hi - lo).take(pa.array(use)), pa.array(list(h[use]), pa.list_(pa.float64())), pa.array(size[use])], names=["lang", "h", "n"])
+                    yield _binned(codes[lo:hi][use], h[use], size[use])
 
-        scored = rest.mapInArrow(run, "lang int, h array<double>, n long")
+        binned = rest.mapInArrow(giving_back(run), BINNED)  # one Python worker a task: a second one in a row would hold memory of its own
         model = Model(langs, code, gram, n)
-    model.limits = calibrate(langs, model.limits, _calibration(scored, langs))
+    model.limits = calibrate(langs, model.limits, _calibration(binned))
     if sent is not None:
         sent.destroy()  # the tasks hold one model at a time
     return model
@@ -503,7 +511,7 @@ def identify(docs: DataFrame, model: Model | StoredModel | None, text: str = "te
             arrays = [*batch.columns[:width], *[pa.array(p, t) for p, t in zip(parts, types)]]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:width], *new])
 
-    return rows.mapInArrow(run, StructType(fields))
+    return rows.mapInArrow(giving_back(run), StructType(fields))
 
 
 def language_id(docs: DataFrame, folds: int = 3, held: int = 1, text: str = "text", lang: str = "lang", key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -40,7 +40,7 @@ def common_shingles(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
         values, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), return_counts=True)
         yield {"shingle": values.view(np.int64), "n": n}
 
-    counted = arrow_rows(source.where(remainder("doc_id", SAMPLE) == 0), rows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = arrow_rows(source.where(remainder("doc_id", SAMPLE) == 0), rows, "shingle long, n long", give_back=True).groupBy("shingle").agg(F.sum("n").alias("n"))
     found = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(COMMON).toPandas()
     shingles = found["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(shingles)
@@ -114,12 +114,12 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
         pairs = cut_lineage(pairs.join(one, "a").join(two, "b").where(F.coalesce(enough, F.lit(True))).select("a", "b").distinct())
         ids = ends(pairs)
         texts = among(source, "doc_id", ids).join(ids, "doc_id").dropDuplicates(["doc_id"])  # a semi join would go before the filter
-        held = cut_lineage(arrow_rows(texts, sets, "doc_id long, shingles array<long>", SLICE))
+        held = cut_lineage(arrow_rows(texts, sets, "doc_id long, shingles array<long>", SLICE, give_back=True))
         left, right = held.toDF("a", "sa"), held.toDF("b", "sb")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("all"))
         return cut_lineage(both.where(F.col("both") >= F.lit(similarity) * (F.col("all") - F.col("both"))).select("a", "b"))
 
-    marked = cut_lineage(arrow_rows(source, features, "doc_id long, k1 long, k2 long, size int, fp long, prefix array<long>, parts array<byte>", SLICE))
+    marked = cut_lineage(arrow_rows(source, features, "doc_id long, k1 long, k2 long, size int, fp long, prefix array<long>, parts array<byte>", SLICE, give_back=True))
     exact = cut_lineage(marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
     # fingerprints: the classes of one, and of each the nearest smaller one
     prints = cut_lineage(exact.groupBy("fp").agg(F.min("rep").alias("rep")))

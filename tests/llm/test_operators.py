@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from lakeloom.llm import decontaminate, golay, jpeg, langid, license, neardedup, packing, queries, secrets, simhash, suffix, toxicity, warc
-from lakeloom.llm.common import among, connected_components, table
+from lakeloom.llm.common import among, connected_components, giving_back, table
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t", "a", "the same text", "the same text", "é ü 漢字 \U0001f600", "x" * 300_000, "token = \"0f" + "a1b2c3d4" * 5 + "\"", "<|endoftext|> y", "1 2 3"]
@@ -330,6 +330,47 @@ def test_language_tables_in_spark(spark, odd):
         assert abs(r.lang_score - two[k].lang_score) < 1e-4 and abs(r.cross_entropy - two[k].cross_entropy) < 1e-4
 
 
+def test_language_has_one_python_worker_a_task(spark, docs, monkeypatch):
+    kind, chained = type(docs), []
+    plain = kind.mapInArrow
+
+    def watched(self, *args, **kw):
+        out = plain(self, *args, **kw)
+        chained.append(out._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+        return out
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    binned = langid.identify(docs, langid.train(docs))
+    assert binned.columns[-1] == "rejected" and len(chained) == 3 and max(chained) == 1
+
+
+def test_language_calibrates_on_nothing():
+    empty = langid._binned(np.zeros(0, dtype=np.int32), np.zeros((0, 3)), np.zeros(0, dtype=np.int64))
+    assert empty.num_rows == 0 and empty.schema.names == ["lang", "own", "size", "bin"]
+    rows = langid._binned(np.array([1, 0], dtype=np.int32), np.array([[3.0, 1.0, 2.0], [0.505, 4.0, 5.0]]), np.array([16, 0])).to_pylist()
+    assert [tuple(r.values()) for r in rows] == [(1, 1, 8, 100), (0, 1, 0, 50), (2, 0, 8, 200), (1, 0, 0, 400)]
+
+
+def test_memory_is_given_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    pinned = []  # at the end of what was allocated, so that the allocator does not trim by itself
+
+    def run(batches):
+        for n in batches:
+            held = [bytes(1000) for _ in range(n)]
+            pinned.append(held[-1])
+            yield len(held)
+
+    before = resident()
+    assert list(run(iter([200_000]))) == [200_000]
+    kept = resident() - before
+    assert list(giving_back(run)(iter([200_000, 10]))) == [200_000, 10]
+    assert kept > 100e6 and resident() - before < 50e6
+
+
 @pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
 def test_language_left_out_is_rejected(spark, left_out):
     base = table(spark, "/root/testdata/sf0.01", "documents")
