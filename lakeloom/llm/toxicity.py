@@ -271,12 +271,12 @@ class LexiconAutomaton:
 
 
 def features(text: str | None, automaton: LexiconAutomaton) -> tuple[float, ...]:
-    """Counts of hits by kind and context, logarithmic, hits per hundred words, and whether a term stands unquoted as it is."""
+    """Counts of hits by kind and context, logarithmic, and hits per hundred words: ``FEATURES`` but the last."""
     lower = (text or "").lower()
     found = _word.findall(lower)
     look = automaton.lookup
     if not any(map(look, set(found))):
-        return (0.0,) * len(FEATURES)
+        return (0.0,) * (len(FEATURES) - 1)
     plain = fuzzy = quoted = aimed = hits = 0
     places = [(m.start(), m.group()) for m in _word.finditer(lower)]
     for i, (at, w) in enumerate(places):
@@ -294,7 +294,7 @@ def features(text: str | None, automaton: LexiconAutomaton) -> tuple[float, ...]
         else:
             fuzzy += 1
         aimed += any(x in _aim for x in window)
-    return tuple(map(math.log1p, (plain, fuzzy, quoted, aimed))) + (min(100.0 * hits / len(found), 20.0) / 4, float(plain > 0))
+    return tuple(map(math.log1p, (plain, fuzzy, quoted, aimed))) + (min(100.0 * hits / len(found), 20.0) / 4,)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -328,7 +328,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     def rows(keys, texts):
         if not built:
             built.append(LexiconAutomaton(terms, ordinary))
-        found = [features(t, built[0]) for t in texts]
+        found = [(*f, float(f[0] > 0)) for f in (features(t, built[0]) for t in texts)]
         yield {"doc_id": keys} | {n: [f[i] for f in found] for i, n in enumerate(FEATURES)}
 
     scored = cut_lineage(arrow_rows(source, rows, "doc_id long, " + ", ".join(f"{n} double" for n in FEATURES)))

@@ -855,6 +855,14 @@ def test_quotation_and_misspelling():
     assert toxicity.features("nothing here", a) == (0.0,) * 5
 
 
+def test_unquoted_terms_count_by_themselves(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).select(*toxicity.FEATURES).collect()
+    assert len({r.direct for r in rows}) == 2 and all(r.direct == (r.plain > 0) for r in rows)
+    a = toxicity.LexiconAutomaton(["idiot."])
+    assert [len(toxicity.features(t, a)) for t in ("you are an idiot", "none", None)] == [5] * 3
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).join(table(spark, sf, "labels"), "doc_id").where("held_out").collect()
