@@ -338,6 +338,25 @@ def test_near_join_of_odd_vectors(spark):
     assert near_join(left.limit(0), "v", "a", right, "v", "b").count() == 0
 
 
+def test_near_join_deals_pairs_to_tasks(spark, monkeypatch):
+    """Groups of queries meet pieces of the rows in tasks of bounded pairs, and the ranks are those of all pairs."""
+    from pyspark.sql import functions as F
+
+    from lakeloom.operators import vector
+
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    e = e.union(e.selectExpr("vec_id + 1000", "embedding", "label").where("vec_id % 3 = 0"))  # exact copies tie
+    queries = e.where("vec_id % 20 = 0")
+    monkeypatch.setattr(vector, "PAIRS", 1000)
+    got = vector.near_join(queries, "embedding", "vec_id", e, "embedding", "vec_id", 10, "l2", 7, 50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    tasks = int(re.search(r"shufflepartitionidpassthrough\(.*, (\d+)\)", plan).group(1))
+    assert tasks >= queries.count() * e.count() / 1000 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    pairs = queries.select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("q")).crossJoin(e.select(F.col("vec_id").alias("right_id"), "embedding"))
+    exact = vector._ranked(pairs.select("left_id", "right_id", vector.distance(F.col("embedding"), F.col("q"), "l2").alias("distance")), 10)
+    assert sorted(map(tuple, got.select("left_id", "rank", "right_id").collect())) == sorted(map(tuple, exact.select("left_id", "rank", "right_id").collect()))
+
+
 def test_vector_index_in_sql(spark):
     e = Engine(spark)
     r = random.Random(3)
