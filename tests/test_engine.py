@@ -357,6 +357,25 @@ def test_near_join_deals_pairs_to_tasks(spark, monkeypatch):
     assert sorted(map(tuple, got.select("left_id", "rank", "right_id").collect())) == sorted(map(tuple, exact.select("left_id", "rank", "right_id").collect()))
 
 
+def test_near_join_ranks_parallel_vectors_as_sql(spark):
+    """Multiples of a vector are at distance 0 of it to the last digit, so that ties go by the id as in SQL."""
+    import duckdb
+    import pandas as pd
+
+    from lakeloom.operators.vector import near_join
+
+    r = random.Random(5)
+    one = [[r.randint(-9, 9) for _ in range(24)] for _ in range(6)]
+    rows = pd.DataFrame([(i, [float(x * by) for x in v]) for i, (by, v) in enumerate((by, v) for by in (1, 3, 11, 7, 5, 13) for v in one)], columns=["i", "v"])
+    df = spark.createDataFrame(rows.values.tolist(), "i long, v array<double>")
+    with duckdb.connect() as c:
+        c.register("t", rows)
+        d = "1 - list_cosine_similarity(a.v, b.v)"
+        want = c.sql(f"SELECT a.i, row_number() OVER (PARTITION BY a.i ORDER BY {d}, b.i) AS rank, b.i AS other FROM t a, t b QUALIFY rank <= 6").fetchall()
+    got = near_join(df, "v", "i", df, "v", "i", 6).select("left_id", "rank", "right_id").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_vector_index_in_sql(spark):
     e = Engine(spark)
     r = random.Random(3)
