@@ -376,6 +376,22 @@ def test_near_join_ranks_parallel_vectors_as_sql(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_index_join_deals_pairs_to_tasks(spark, tmp_path, monkeypatch):
+    """Cells meet in tasks of bounded pairs; with all cells probed the ranks are those of the exact join."""
+    from lakeloom.operators import vector
+
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    odd = spark.createDataFrame([(900, None), (901, [1.0]), (902, [None] * 64), (920, [0.5] * 63 + [None])], "vec_id long, embedding array<float>")
+    queries = e.union(odd).where("vec_id % 20 = 0")
+    index = vector.IvfIndex.build(e.union(odd), "embedding", str(tmp_path / "i"), cells=4)
+    monkeypatch.setattr(vector, "PAIRS", 1000)
+    found = index.join(queries, "embedding", "vec_id", "vec_id", 10, 4)
+    tasks = int(re.search(r"shufflepartitionidpassthrough\(.*, (\d+)\)", found._jdf.queryExecution().executedPlan().toString()).group(1))
+    assert tasks >= 25 * 500 / 1000
+    exact = vector.near_join(queries.where("vec_id < 900"), "embedding", "vec_id", e, "embedding", "vec_id", 10)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.collect()))
+
+
 def test_vector_index_in_sql(spark):
     e = Engine(spark)
     r = random.Random(3)
